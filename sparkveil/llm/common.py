@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import attach
+
 #: White space that separates words: space and the controls 9 to 13, as bytes.split() has it.
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
@@ -20,6 +22,7 @@ def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    attach(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import attach
 from .common import map_batches, materialise, text_rows
 from .word_tokens import encoder
 
@@ -169,11 +170,12 @@ def bin_completion(lengths: list[int], capacity: int, nodes: int = NODES) -> lis
 
 def pack(parts: DataFrame, capacity: int, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """Adds sequence_id and offset to the columns of pieces()."""
+    attach(parts.sparkSession)
     shards = max(1, -(-parts.count() // shard_pieces))
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
     dealt = parts.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "length"), F.lit(shards)).cast("int"))
 
-    def fill(key, table: pa.Table) -> pa.Table:
+    def fill(key, table):
         table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
         lengths = table.column("length").to_pylist()
         sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
