@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .language_id import predict_languages
 from .packing import pack_documents
 from .simhash import simhash_components
+from .suffix_dedup import remove_repeats
 from .token_files import token_documents
 
 
@@ -35,12 +37,17 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = remove_repeats(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_language_id": op2_language_id, "op3_simhash": op3_simhash, "op5_token_files": op5_token_files, "op9_packing": op9_packing}
+    return {"op2_language_id": op2_language_id, "op3_simhash": op3_simhash, "op5_token_files": op5_token_files, "op6_suffix_dedup": op6_suffix_dedup, "op9_packing": op9_packing}
 
 
 def oracle_sql() -> dict[str, str]:
