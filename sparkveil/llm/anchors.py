@@ -118,6 +118,34 @@ def per_document(rows: DataFrame, names: list[str]) -> DataFrame:
     return rows.groupBy("rid").agg(F.collect_list(F.struct(*names)).alias("wanted"))
 
 
+def fetch_contexts(keyed_docs: DataFrame, wanted: DataFrame, encode: Callable[[str], bytes], unit: int, width: int) -> DataFrame:
+    """(rid, akey, contexts, value, start, data): the symbols, of ``unit`` bytes each, of each wanted context."""
+    schema = pa.schema([("rid", pa.int64()), ("akey", pa.int64()), ("contexts", pa.int64()), ("value", pa.int64()), ("start", pa.int32()), ("data", pa.binary())])
+    joined = keyed_docs.select("rid", "text").join(per_document(wanted, ["akey", "contexts", "value", "first", "windows"]), "rid")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, lists, out = batch.column("text"), batch.column("wanted"), [[] for _ in schema]
+
+            def flush(out=out):
+                got = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+                for c in out:
+                    c.clear()
+                return got
+
+            for k, rid in enumerate(batch.column("rid").to_pylist()):
+                data = encode(texts[k].as_py())
+                for r in lists[k].as_py():
+                    row = (rid, r["akey"], r["contexts"], r["value"], r["first"], data[unit * r["first"] : unit * (r["first"] + r["windows"] + width - 1)])
+                    for c, x in zip(out, row, strict=True):
+                        c.append(x)
+                    if len(out[0]) >= 5000:
+                        yield flush()
+            yield flush()
+
+    return map_batches(joined, run, "rid long, akey long, contexts long, value long, start int, data binary")
+
+
 def shards(batches: Iterator[pa.RecordBatch], key: str, weight: Callable[[pa.RecordBatch], np.ndarray], most: int) -> Iterator[pa.Table]:
     """Groups a stream that is sorted by a key into tables that hold whole keys and about ``most`` of weight."""
     held: list[pa.RecordBatch] = []

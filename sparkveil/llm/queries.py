@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .language_id import predict_languages
 from .packing import pack_documents
 from .simhash import simhash_components
+from .substring_dedup import remove_passages
 from .suffix_dedup import remove_repeats
 from .token_files import token_documents
 
@@ -46,8 +47,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = remove_passages(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_language_id": op2_language_id, "op3_simhash": op3_simhash, "op5_token_files": op5_token_files, "op6_suffix_dedup": op6_suffix_dedup, "op9_packing": op9_packing}
+    return {"op2_language_id": op2_language_id, "op3_simhash": op3_simhash, "op5_token_files": op5_token_files, "op6_suffix_dedup": op6_suffix_dedup, "op9_packing": op9_packing, "op10_substring_dedup": op10_substring_dedup}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -15,7 +15,6 @@ the same id and text are two documents (each repeats the other); other columns a
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import SHARD_CONTEXTS, anchor_rows, keyed, per_document, shards, split_anchors
+from .anchors import SHARD_CONTEXTS, anchor_rows, fetch_contexts, keyed, shards, split_anchors
 from .common import Rolling, map_batches, materialise, merged
 
 WIDTH, GRAM, PACK = 400, 64, 8
@@ -32,8 +31,12 @@ _RNG = np.random.default_rng(42)
 BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def utf8(text: str) -> bytes:
+    return text.encode("utf-8", "replace")
+
+
 def byte_symbols(text: str) -> np.ndarray:
-    return BYTE[np.frombuffer(text.encode("utf-8", "replace"), np.uint8)]
+    return BYTE[np.frombuffer(utf8(text), np.uint8)]
 
 
 def suffix_order(symbols: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,37 +138,13 @@ def runs_of(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return places[np.concatenate([[0], cut + 1])], places[np.concatenate([cut, [len(places) - 1]])]
 
 
-def fetch_contexts(keyed_docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(rid, akey, contexts, n, start, data): the bytes of each wanted context."""
-    schema = pa.schema([("rid", pa.int64()), ("akey", pa.int64()), ("contexts", pa.int64()), ("n", pa.int64()), ("start", pa.int32()), ("data", pa.binary())])
-    joined = keyed_docs.select("rid", "text").join(per_document(wanted, ["akey", "contexts", "n", "first", "windows"]), "rid")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rids, texts, lists = batch.column("rid").to_pylist(), batch.column("text"), batch.column("wanted")
-            for k, rid in enumerate(rids):
-                data = texts[k].as_py().encode("utf-8", "replace")
-                rows = lists[k].as_py()
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([rid] * len(rows), pa.int64()),
-                        *(pa.array([r[name] for r in rows], pa.int64()) for name in ("akey", "contexts", "n")),
-                        pa.array([r["first"] for r in rows], pa.int32()),
-                        pa.array([data[r["first"] : r["first"] + r["windows"] + WIDTH - 1] for r in rows], pa.binary()),
-                    ],
-                    schema=schema,
-                )
-
-    return map_batches(joined, run, "rid long, akey long, contexts long, n long, start int, data binary")
-
-
 def _shard_spans(contexts: DataFrame) -> DataFrame:
     parts = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = contexts.repartition(parts, "akey").sortWithinPartitions("akey")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in shards(batches, "akey", lambda b: np.array([len(x) for x in b.column("data").to_pylist()]), SHARD_BYTES):
-            rids, starts, counts = (shard.column(c).to_pylist() for c in ("rid", "start", "n"))
+            rids, starts, counts = (shard.column(c).to_pylist() for c in ("rid", "start", "value"))
             out: list[list] = [[], [], []]
             for rid, start, n, at in zip(rids, starts, counts, repeated_windows(shard.column("data").to_pylist()), strict=True):
                 if n == 1 and len(at):
@@ -180,16 +159,16 @@ def _shard_spans(contexts: DataFrame) -> DataFrame:
 
 def _hot_spans(contexts: DataFrame) -> DataFrame:
     """Windows of anchors in very many different contexts, settled by a grouped count over window hashes."""
-    schema = pa.schema([("rid", pa.int64()), ("akey", pa.int64()), ("n", pa.int64()), ("start", pa.int32()), ("hashes", pa.list_(pa.int64()))])
+    schema = pa.schema([("rid", pa.int64()), ("akey", pa.int64()), ("value", pa.int64()), ("start", pa.int32()), ("hashes", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes = [Rolling(BYTE[np.frombuffer(x, np.uint8)]).windows(WIDTH).view(np.int64) for x in batch.column("data").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rid", "akey", "n", "start")), pa.array(hashes, pa.list_(pa.int64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rid", "akey", "value", "start")), pa.array(hashes, pa.list_(pa.int64()))], schema=schema)
 
-    windows = map_batches(contexts.drop("contexts"), run, "rid long, akey long, n long, start int, hashes array<long>").select("rid", "akey", "n", "start", F.posexplode("hashes").alias("at", "hash"))
-    again = windows.groupBy("akey", "hash").agg(F.sum("n").alias("all")).filter("all > 1").select("akey", "hash")
-    return windows.filter("n = 1").join(again, ["akey", "hash"], "left_semi").select("rid", (F.col("start") + F.col("at")).alias("start"), (F.col("start") + F.col("at") + WIDTH).alias("end"))
+    windows = map_batches(contexts.drop("contexts"), run, "rid long, akey long, value long, start int, hashes array<long>").select("rid", "akey", "value", "start", F.posexplode("hashes").alias("at", "hash"))
+    again = windows.groupBy("akey", "hash").agg(F.sum("value").alias("all")).filter("all > 1").select("akey", "hash")
+    return windows.filter("value = 1").join(again, ["akey", "hash"], "left_semi").select("rid", (F.col("start") + F.col("at")).alias("start"), (F.col("start") + F.col("at") + WIDTH).alias("end"))
 
 
 def repeated_spans(keyed_docs: DataFrame) -> DataFrame:
@@ -200,8 +179,8 @@ def repeated_spans(keyed_docs: DataFrame) -> DataFrame:
     whole = plain.select("rid", "start", "windows").union(mixed.filter("n > 1").select("rid", "start", "windows"))
     settled = whole.select("rid", F.explode("start").alias("start"), "windows").select("rid", "start", (F.col("start") + F.col("windows") + (WIDTH - 1)).alias("end"))
     # One example of each different context stands for all of them.
-    first = mixed.groupBy("akey", "chash").agg(F.min(F.struct("rid", F.element_at("start", 1).alias("first"), "windows", "n", "contexts")).alias("x")).select("akey", "x.*")
-    contexts = materialise(fetch_contexts(keyed_docs, first))
+    first = mixed.groupBy("akey", "chash").agg(F.min(F.struct("rid", F.element_at("start", 1).alias("first"), "windows", F.col("n").alias("value"), "contexts")).alias("x")).select("akey", "x.*")
+    contexts = materialise(fetch_contexts(keyed_docs, first, utf8, 1, WIDTH))
     few, many = contexts.filter(F.col("contexts") <= SHARD_CONTEXTS), contexts.filter(F.col("contexts") > SHARD_CONTEXTS)
     return settled.union(_shard_spans(few)).union(_hot_spans(many))
 
@@ -220,7 +199,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             for at in range(0, len(texts), 500):
                 out: list[list] = [[], [], [], []]
                 for k in range(at, min(len(texts), at + 500)):
-                    data = texts[k].as_py().encode("utf-8", "replace")
+                    data = utf8(texts[k].as_py())
                     spans = merged([(x["start"], x["end"]) for x in lists[k].as_py() or ()])
                     kept, last = [], 0
                     for s, e in spans:
@@ -234,6 +213,3 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     return map_batches(joined, run, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept binary")
 
-
-def digest(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
