@@ -7,8 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat_format import ORACLE as CHAT_SQL
+from .chat_format import formatted_digest
+from .decontaminate import find_leaks
 from .language_id import predict_languages
 from .packing import pack_documents
+from .pii import BASE, find_pii, listed, of_kinds
+from .quality import quality
 from .simhash import simhash_components
 from .substring_dedup import remove_passages
 from .suffix_dedup import remove_repeats
@@ -26,6 +31,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return formatted_digest(table(spark, sf_dir, "conversations"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(table(spark, sf_dir, "documents"))
 
@@ -34,6 +43,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2)
 
@@ -43,6 +56,16 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = find_pii(table(spark, sf_dir, "documents")).select("doc_id", "spans")
+    counts = [F.size(of_kinds(F.col("spans"), (kind,))).cast("long").alias(f"n_{kind}") for kind in BASE]
+    return got.select("doc_id", *counts, F.sha2(listed(of_kinds(F.col("spans"), BASE)), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents")).drop("cleaned", "n_failed_lines")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1, capacity=4096)
 
@@ -53,8 +76,19 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_language_id": op2_language_id, "op3_simhash": op3_simhash, "op5_token_files": op5_token_files, "op6_suffix_dedup": op6_suffix_dedup, "op9_packing": op9_packing, "op10_substring_dedup": op10_substring_dedup}
+    return {
+        "op1_chat_format": op1_chat_format,
+        "op2_language_id": op2_language_id,
+        "op3_simhash": op3_simhash,
+        "op4_decontaminate": op4_decontaminate,
+        "op5_token_files": op5_token_files,
+        "op6_suffix_dedup": op6_suffix_dedup,
+        "op7_pii": op7_pii,
+        "op8_quality": op8_quality,
+        "op9_packing": op9_packing,
+        "op10_substring_dedup": op10_substring_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_chat_format": CHAT_SQL}
