@@ -36,7 +36,7 @@ INDEX_MAGIC, TABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 FRAME_BYTES = 1 << 20
 
 MANIFEST = "part int, path string, width int, documents long, tokens long, first_doc long"
-ROWS = "doc_id long, part int, local_start long, n_tokens long, ids_crc32 long"
+ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 def filesystem(uri: str):
@@ -165,9 +165,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, directory: str, end_
         final, own = f"{base}/part-{part:06d}.zst", f"{base}/.part-{part:06d}-{uuid.uuid4().hex}"
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-            for k in range(0, len(ids), 1000):
-                coded = enc.encode(texts.slice(k, 1000).to_pylist())
-                for doc_id, data in zip(ids[k : k + 1000], coded, strict=True):
+            for k in range(0, len(ids), 2000):
+                coded = enc.encode(texts.slice(k, 2000).to_pylist())
+                for doc_id, data in zip(ids[k : k + 2000], coded, strict=True):
                     if made is None:
                         store.create_dir(base, recursive=True)
                         sink = store.open_output_stream(own)
@@ -187,34 +187,32 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, directory: str, end_
 
 
 def read_token_files(manifest: DataFrame, directory: str) -> DataFrame:
-    """A row for each document of the files: its place, number of tokens and checksum of its ids."""
-    schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("local_start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
-    files = manifest.select("part", "path").repartition(F.col("part"))
+    """A row for each document of the files: (doc_id, start, n_tokens, ids_crc32), verified frame by frame.
+
+    start adds the tokens of the files before: a running sum over the manifest, which has a
+    row for each file, not for each document.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+    before = F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    files = manifest.select("part", "path", F.coalesce(before, F.lit(0)).alias("base")).repartition(parts, "part")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = filesystem(directory)
         for batch in batches:
-            for part, path in zip(batch.column("part").to_pylist(), batch.column("path").to_pylist(), strict=True):
+            for path, base in zip(batch.column("path").to_pylist(), batch.column("base").to_pylist(), strict=True):
                 with store.open_input_file(path) as source:
                     reader = FrameReader(source, source.size())
                     n = len(reader.lengths)
                     for k in range(0, n, 10_000):
                         m = min(n, k + 10_000)
                         crc = [zlib.crc32(reader.document(j).astype("<u4").tobytes()) for j in range(k, m)]
-                        yield pa.RecordBatch.from_arrays([pa.array(reader.doc_ids[k:m], mask=reader.nulls[k:m]), pa.array(np.full(m - k, part, np.int32)), pa.array(reader.offsets[k:m]), pa.array(reader.lengths[k:m]), pa.array(crc, pa.int64())], schema=schema)
+                        yield pa.RecordBatch.from_arrays([pa.array(reader.doc_ids[k:m], mask=reader.nulls[k:m]), pa.array(base + reader.offsets[k:m]), pa.array(reader.lengths[k:m]), pa.array(crc, pa.int64())], schema=schema)
 
     return map_batches(files, read, ROWS)
 
 
 def token_documents(docs: DataFrame, tokenizer_path: str, end_id: int, directory: str | None = None) -> DataFrame:
-    """Write the files, read them back: (doc_id, start, n_tokens, ids_crc32).
-
-    start adds the tokens of the files before: a running sum over the manifest, which has a
-    row for each file, not for each document.
-    """
-    spark = docs.sparkSession
-    directory = directory or f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
-    manifest = write_token_files(docs, tokenizer_path, directory, end_id)
-    before = manifest.select("part", F.coalesce(F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    rows = read_token_files(manifest, directory)
-    return rows.join(before, "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
+    """Write the files, read them back: (doc_id, start, n_tokens, ids_crc32)."""
+    directory = directory or f"{shared_dir(docs.sparkSession).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    return read_token_files(write_token_files(docs, tokenizer_path, directory, end_id), directory)

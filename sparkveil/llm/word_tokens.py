@@ -19,7 +19,7 @@ from array import array
 
 MARKS = frozenset(".,!?;:")
 #: Entries of each of the two generations of a worker's cache; bounds its memory, not the result.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
 
 
 class WordEncoder:
@@ -29,104 +29,110 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.keeps_spaces = keeps_spaces
+        self.space = " " if keeps_spaces else ""
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.dtype = "<u2" if self.code == "H" else "<u4"
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _get(self, word: str) -> bytes | None:
-        got = self.new.get(word)
-        if got is None and (got := self.old.get(word)) is not None:
-            self.new[word] = got
-        return got
-
-    def _learn(self, words: list[str]) -> None:
-        for k in range(0, len(words), 20_000):
-            part = words[k : k + 20_000]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.new[word] = array(self.code, e.ids).tobytes()
+        #: Ids of a piece that follows a space; None where the text must be encoded whole.
+        self.cache: dict[str, bytes | None] = {}
+        self.old: dict[str, bytes | None] = {}
+        self.marks = {m: self.whole(m) for m in sorted(MARKS)}
 
     def whole(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _parts(self, piece: str) -> tuple[str, ...] | None:
-        """Substrings of a piece that are encoded one by one; None: the text must be encoded whole."""
-        lead = piece[:1] == " " and self.keeps_spaces
-        body = piece[1:] if lead else piece
-        if not body:
-            return None if self.keeps_spaces and piece else ()
-        if "\n" in body:
-            if not self.keeps_spaces:
-                lines = [x for x in body.split("\n") if x]
-            else:
-                lines = body.split("\n")
-                if any(len(x.split()) != 1 or x[0].isspace() or x[-1].isspace() for x in lines):
-                    return None
-            out: list[str] = []
-            for k, x in enumerate(lines):
-                if k and self.keeps_spaces:
-                    out.append("\n")
-                out += self._marked((" " if lead and not k else "") + x)
-            return tuple(out)
-        if self.keeps_spaces and (body[0].isspace() or len(body.split()) != 1):
-            return None
-        return self._marked(piece)
+    def _ids(self, strings: list[str]) -> list[bytes]:
+        out, code = [], self.code
+        for k in range(0, len(strings), 20_000):
+            out += [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(strings[k : k + 20_000], add_special_tokens=False)]
+        return out
 
     @staticmethod
-    def _marked(piece: str) -> tuple[str, ...]:
-        stem = piece[:-1].lstrip(" ")
-        if piece[-1] in MARKS and stem.isalpha() and stem.lower().isalpha():
-            return (piece[:-1], piece[-1])
-        return (piece,)
+    def _stem(piece: str) -> str | None:
+        """The letters of a piece that ends with one mark."""
+        stem = piece[:-1]
+        return stem if piece[-1:] in MARKS and stem.isalpha() and stem.lower().isalpha() else None
+
+    def _parts(self, piece: str, spaced: bool) -> list[str] | None:
+        """Strings whose ids make up those of a piece with white space or other characters; None: not safe to cut."""
+        if not self.keeps_spaces:
+            return [piece]
+        lines = piece.split("\n")
+        if any(len(x.split()) != 1 or x[0].isspace() or x[-1].isspace() for x in lines):
+            return None
+        out: list[str] = []
+        for k, x in enumerate(lines):
+            if k:
+                out.append("\n")
+            stem = self._stem(x)
+            head = " " if spaced and not k else ""
+            out += [head + x] if stem is None else [head + stem, x[-1]]
+        return out
+
+    def _add(self, new: set[str]) -> None:
+        cache, old, space = self.cache, self.old, self.space
+        letters, marked, others, stems = [], [], [], []
+        for w in new:
+            if w in old:
+                cache[w] = old[w]
+            elif w.isalpha():
+                letters.append(w)
+            elif (stem := self._stem(w)) is not None:
+                marked.append(w)
+                stems.append(stem)
+            else:
+                others.append(w)
+        need = [*{*letters, *(s for s in stems if s not in cache)}]
+        cache.update(zip(need, self._ids([space + w for w in need]), strict=True))
+        for w in marked:
+            cache[w] = cache[w[:-1]] + self.marks[w[-1]]
+        cut = {w: self._parts(w, True) for w in others}
+        strings = [*{p for parts in cut.values() if parts for p in parts}]
+        ids = dict(zip(strings, self._ids(strings), strict=True))
+        for w, parts in cut.items():
+            cache[w] = None if parts is None else b"".join([ids[p] for p in parts])
+
+    def _heads(self, heads: set[str]) -> dict[str, bytes | None]:
+        """Ids of the pieces that begin a text."""
+        cut = {h: self._parts(h, False) for h in heads}
+        strings = [*{p for parts in cut.values() if parts for p in parts}]
+        ids = dict(zip(strings, self._ids(strings), strict=True))
+        return {h: None if parts is None else b"".join([ids[p] for p in parts]) for h, parts in cut.items()}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian integers of ``dtype``; an empty text has none."""
         cut: list[list[str] | None] = []
         seen: set[str] = set()
+        heads: set[str] = set()
         for text in texts:
             if any(s in text for s in self.special):
                 cut.append(None)
                 continue
-            pieces = text.split(" ")
+            pieces = text.split(" ") if self.keeps_spaces else text.replace("\n", " ").split(" ")
+            head = pieces[0]
+            seen.update(pieces if not self.keeps_spaces else pieces[1:])
+            if self.keeps_spaces and head:
+                heads.add(head)
             cut.append(pieces)
-            # The first piece has no space before it, so it is looked up under another name.
-            seen.update(pieces[1:])
-        known: dict[str, bytes] = {}
-        heads = {p[0] for p in cut if p and p[0]}
-        space = " " if self.keeps_spaces else ""
-        plan: dict[str, tuple[str, ...] | None] = {}
-        missing: set[str] = set()
-        for word in [space + w for w in seen] + [*heads]:
-            if word in plan:
-                continue
-            got = self._get(word)
-            if got is not None:
-                known[word] = got
-                continue
-            parts = plan[word] = self._parts(word)
-            if parts:
-                for p in parts:
-                    if self._get(p) is None:
-                        missing.add(p)
-        self._learn([*missing])
-        for word, parts in plan.items():
-            if parts is not None:
-                known[word] = b"".join([self._get(p) for p in parts])
-        after = known if not space else {w: b for w in seen if (b := known.get(space + w)) is not None}
-        out: list[bytes] = []
+        if new := seen.difference(self.cache):
+            self._add(new)
+        first = self._heads(heads)
+        cache, out, join = self.cache, [], b"".join
         for text, pieces in zip(texts, cut, strict=True):
             try:
                 if pieces is None:
-                    raise KeyError
-                head = known[pieces[0]] if pieces[0] else b""
-                if not pieces[0] and len(pieces) > 1 and self.keeps_spaces and not pieces[1]:
-                    raise KeyError
-                out.append(head + b"".join([after[p] for p in pieces[1:]]) if len(pieces) > 1 else head)
-            except KeyError:
+                    raise TypeError
+                if self.keeps_spaces:
+                    head = pieces[0]
+                    coded = [cache[p] for p in pieces[1:]]
+                    coded.insert(0, first[head] if head else b"")
+                else:
+                    coded = [cache[p] for p in pieces]
+                out.append(join(coded))
+            except TypeError:
                 out.append(self.whole(text))
-        if len(self.new) > CACHE_WORDS:
-            self.old, self.new = self.new, {}
+        if len(cache) > CACHE_WORDS:
+            self.old, self.cache = cache, {}
         return out
 
 
