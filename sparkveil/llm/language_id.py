@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
 from .common import map_batches
@@ -174,24 +175,24 @@ def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     return out
 
 
-OUT = "doc_id long, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>"
+OUT = "lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>"
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", with_spans: bool = True) -> DataFrame:
-    """(doc_id, lang_pred, score, spans): the language of most letters, its share of them, and runs of words (start, end) by language."""
+def label_rows(df: DataFrame, model: Model, text_col: str = "text", prefix: str = "_lang_") -> DataFrame:
+    """Adds to every row the language of most letters (``pred``), its share of them (``score``) and runs of words by language (``spans``), names under a prefix."""
     span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])
-    schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("spans", pa.list_(span))])
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.table, model.allowed))  # a fixed size for each language
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    fields = [pa.field(f"{prefix}pred", pa.string()), pa.field(f"{prefix}score", pa.float64()), pa.field(f"{prefix}spans", pa.list_(span))]
+    shared = df.sparkSession.sparkContext.broadcast((model.languages, model.table, model.allowed))  # a fixed size for each language
+    at_text = df.columns.index(text_col)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model.__new__(Model)
         own.languages, own.table, own.allowed = shared.value
         scorer = Scorer(own)
         for batch in batches:
-            ids, texts = batch.column("doc_id"), batch.column("text")
-            for at in range(0, len(ids), 500):
-                cut = [(t or "").split() for t in texts.slice(at, 500).to_pylist()]
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                cut = [(t or "").split() for t in part.column(at_text).to_pylist()]
                 scorer.look_up([w for words in cut for w in words])
                 preds, shares, spans = [], [], []
                 for words in cut:
@@ -208,11 +209,20 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                     top = int(by.argmax())
                     preds.append(own.languages[top])
                     shares.append(float(by[top] / total))
-                    edges = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)] if with_spans else []
+                    edges = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
                     spans.append([{"start": s, "end": e, "lang": own.languages[path[s]]} for s, e in zip(edges, edges[1:], strict=False)])
-                yield pa.RecordBatch.from_arrays([ids.slice(at, 500), pa.array(preds, pa.string()), pa.array(shares, pa.float64()), pa.array(spans, schema.field("spans").type)], schema=schema)
+                more = [pa.array(c, f.type) for c, f in zip((preds, shares, spans), fields, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], schema=pa.schema([*part.schema, *fields]))
+
+    added = ", ".join(prefix + c for c in OUT.replace("lang_pred", "pred").split(", ", 2))
+    schema = T.StructType([*df.schema.fields, *T._parse_datatype_string(added).fields])
+    return map_batches(df, label, schema)
 
-    return map_batches(rows, label, OUT)
+
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, lang_pred, score, spans) of every document."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return label_rows(rows, model).select("doc_id", F.col("_lang_pred").alias("lang_pred"), F.col("_lang_score").alias("score"), F.col("_lang_spans").alias("spans"))
 
 
 def held_out(id_col: str = "doc_id"):

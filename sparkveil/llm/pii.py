@@ -126,12 +126,17 @@ def spans_of(text: Column, kind: str) -> Column:
     return F.when(text.rlike(GATES[kind]), found.cast(kind_type)).otherwise(F.array().cast(kind_type))
 
 
+def find_pii_columns(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Adds the spans of all kinds in a text column (not null), by kind as listed, then start; other columns stay."""
+    # one kind a projection: each refers to the text only
+    parts = reduce(lambda frame, kind: frame.withColumn(f"_pii_{kind}", spans_of(F.col(text), kind)), PATTERNS, df)
+    return parts.withColumn(out, F.concat(*(F.col(f"_pii_{k}") for k in PATTERNS))).drop(*(f"_pii_{k}" for k in PATTERNS))
+
+
 def find_pii(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, spans): spans of all kinds, by kind as listed, then start."""
+    """(doc_id, text, spans) of every document."""
     rows = text_rows(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    # one kind a projection: each refers to the text only
-    parts = reduce(lambda df, kind: df.withColumn(f"_{kind}", spans_of(F.col("text"), kind)), PATTERNS, rows)
-    return parts.select("doc_id", "text", F.concat(*(F.col(f"_{k}") for k in PATTERNS)).alias("spans"))
+    return find_pii_columns(rows, "text", "spans")
 
 
 def listed(spans: Column) -> Column:
