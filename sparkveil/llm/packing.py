@@ -47,9 +47,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, kee
         end = int(end_id).to_bytes(4, "little")
         for batch in batches:
             texts, ids = batch.column("text"), batch.column("doc_id").to_pylist()
-            for k in range(0, len(ids), 1000):
+            for k in range(0, len(ids), 2000):
                 out: list[list] = [[] for _ in schema]
-                for doc_id, coded in zip(ids[k : k + 1000], enc.encode(texts.slice(k, 1000).to_pylist()), strict=True):
+                for doc_id, coded in zip(ids[k : k + 2000], enc.encode(texts.slice(k, 2000).to_pylist()), strict=True):
                     data = np.frombuffer(coded, enc.dtype).astype("<u4").tobytes() + end
                     for p, at in enumerate(range(0, len(data), 4 * capacity)):
                         part = data[at : at + 4 * capacity]
