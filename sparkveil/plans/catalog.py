@@ -1,11 +1,337 @@
-"""Registered queries of the reference's operators and their DuckDB oracles."""
+"""Registered queries of the engine's operators and their DuckDB oracles.
+
+Names carry the operators they exercise.  Every query runs over its whole table.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import lexicons as L
+from ..functions.regexlib import MATCH, alternation, pattern, spans, strip
+from ..operators import detect as D
+from ..operators import normalise as N
+from ..operators import resolve as R
+from ..operators import sanitise as S
+from ..operators.evaluate import CATEGORY_TYPES, found_items, recall_report
+from ..operators.records import batch_summary, counts_by_type, detections_table, records
+from ..sources.documents import dictionary_score, from_table, layout_score
+from . import engine as E
+from .synthetic import CVS, MASKED, SPANS
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; a single small file is spread over the cores, many files keep their splits."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores and name in ("documents", "pages", "conversations", "customer") else df
+
+
+def made(spark: SparkSession, sf_dir: str, sql: str, name: str) -> DataFrame:
+    return spark.sql(sql.replace(f"FROM {name}", "FROM {t}"), t=table(spark, sf_dir, name))
+
+
+def cvs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return made(spark, sf_dir, CVS, "customer")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return from_table(table(spark, sf_dir, "documents"), "doc_id", "text", "documents")
+
+
+def _detected(make: Callable) -> Callable[[SparkSession, str], DataFrame]:
+    """Spans of some recognisers over the CVs, a row each."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        got = make(F.col("text"))
+        rows = cvs(spark, sf_dir).withColumn("found", F.concat(*got) if isinstance(got, list) else got)
+        return rows.select("cv_id", F.explode("found").alias("s")).select("cv_id", "s.entity_type", "s.text")
+
+    return run
+
+
+def span_offsets_email(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = pattern(L.L1_PATTERNS["EMAIL"][0], ignore_case=True)
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(spans(F.coalesce("text", F.lit("")), p, gate=F.col("text").contains("@"))).alias("s"))
+    return rows.select("doc_id", "s.text", F.col("s.start").cast("long").alias("start_at"), F.col("s.end").cast("long").alias("end_at"))
+
+
+def mask_email(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    rows = table(spark, sf_dir, "documents").select("doc_id", text.alias("text")).withColumn("s", F.concat(*D.l1(F.col("text"), types=["EMAIL"]))).withColumn("t", R.assign_tokens(F.col("s")))
+    return rows.select("doc_id", F.sha2(R.splice(F.col("text"), F.col("t")), 256).alias("masked_sha256"))
+
+
+def restore_email(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    rows = table(spark, sf_dir, "documents").select("doc_id", text.alias("text")).withColumn("s", F.concat(*D.l1(F.col("text"), types=["EMAIL"]))).withColumn("t", R.assign_tokens(F.col("s")))
+    return rows.withColumn("m", R.splice(F.col("text"), F.col("t"))).select("doc_id", F.sha2(R.restore(F.col("m"), F.col("t")), 256).alias("restored_sha256"))
+
+
+def ocr_damage_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", N.is_damaged(F.coalesce("text", F.lit(""))).alias("damaged"))
+
+
+def extraction_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(dictionary_score(text), 6).alias("dictionary_score"), F.round(layout_score(text), 6).alias("layout_score"))
+
+
+def preprocess_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cvs(spark, sf_dir).select("cv_id", F.sha2(N.preprocess(F.regexp_replace("text", "@", " @ ")), 256).alias("prepared_sha256"))
+
+
+def normalise_cvs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = F.regexp_replace("text", r"(?<=[A-Za-z0-9])(?=[A-Za-z0-9])", " ")
+    df = cvs(spark, sf_dir).withColumn("_d", damaged)
+    for step in N.PASSES:
+        df = df.withColumn("_d", step(F.col("_d")))
+    return df.select("cv_id", F.col("_d").alias("normalised"))
+
+
+def _header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cvs(spark, sf_dir).select("cv_id", F.explode(D.header_name(F.col("text"), F.array().cast(D.SPAN))).alias("s"))
+    return rows.select("cv_id", "s.text", F.col("s.start").cast("long").alias("start_at"), F.col("s.end").cast("long").alias("end_at"))
+
+
+def _span_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = made(spark, sf_dir, SPANS, "lineitem")
+    one = F.struct("seq", F.struct("entity_type", F.col("seq").cast("string").alias("text"), F.col("b").alias("start"), F.col("e").alias("end"), F.lit("x").alias("layer"), F.lit(None).cast("double").alias("confidence")).alias("s"))
+    return rows.groupBy("grp").agg(F.array_sort(F.collect_list(one)).alias("a")).select("grp", F.transform("a", lambda x: x["s"]).cast(D.SPAN).alias("a"))
+
+
+def _flat(rows: DataFrame) -> DataFrame:
+    return rows.select("grp", F.explode("a").alias("s")).select("grp", "s.entity_type", F.col("s.start").alias("b"), F.col("s.end").alias("e"), F.col("s.text").cast("int").alias("seq"))
+
+
+def dedupe_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(_span_sets(spark, sf_dir).select("grp", R.dedupe_contained(F.col("a")).alias("a")))
+
+
+def dedupe_global(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(_span_sets(spark, sf_dir).select("grp", R.dedupe_overlapping(F.col("a")).alias("a")))
+
+
+def _sanitised(step: Callable) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return made(spark, sf_dir, MASKED, "customer").select("cv_id", step(F.col("text")).alias("text"))
+
+    return run
+
 
-def queries() -> dict:
-    return {}
+def sanitise_org_by_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    return made(spark, sf_dir, MASKED, "customer").select("cv_id", F.regexp_extract(S.replace_tokens(F.col("text"), empty), r"\n(\[[A-Z_]+\]) in ", 1).alias("label"))
+
+
+def sanitise_org_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", S.by_name(F.when(F.col("p_partkey") % 4 == 0, "Snowflake ").when(F.col("p_partkey") % 4 == 1, F.concat(F.col("p_name"), F.lit(" University"))).when(F.col("p_partkey") % 4 == 2, F.concat(F.lit("Academy "), F.col("p_name"))).otherwise(F.col("p_name"))).alias("label"))
+
+
+def sanitise_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    return S.sanitise_columns(made(spark, sf_dir, MASKED, "customer"), "text", empty, "sanitised").select("cv_id", "sanitised")
+
+
+def anonymise_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = E.sanitise(E.anonymise(documents(spark, sf_dir)))
+    return a.select("doc_key", "was_normalised", F.size("detections").alias("n_detections"), F.sha2("anonymised_text", 256).alias("anonymised_sha256"), F.sha2("sanitised_text", 256).alias("sanitised_sha256"))
+
+
+def _cv_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return from_table(cvs(spark, sf_dir), "cv_id", "text", "cvs")
+
+
+def anonymise_cvs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.sanitise(E.anonymise(_cv_documents(spark, sf_dir))).select("doc_key", "anonymised_text", "sanitised_text")
+
+
+def anonymise_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = E.anonymise(from_table(table(spark, sf_dir, "pages"), "page_id", "html", "pages"))
+    return a.select("doc_key", F.size("detections").alias("n_detections"), F.length("anonymised_text").alias("n_chars"))
+
+
+def detections_cvs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detections_table(E.anonymise(_cv_documents(spark, sf_dir)))
+
+
+def counts_by_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts_by_type(_detected(lambda t: D.l1(t))(spark, sf_dir))
+
+
+def counts_by_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detections_cvs(spark, sf_dir).groupBy("layer").agg(F.count("*").alias("n"), F.count_if(F.col("confidence") < 0.85).alias("n_low"))
+
+
+def summary_cvs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batch_summary(records(E.anonymise(_cv_documents(spark, sf_dir)))).drop("started_at")
+
+
+def fingerprint_cvs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = records(E.anonymise(_cv_documents(spark, sf_dir)))
+    return r.select("doc_key", "candidate_fingerprint", "pii_fields.full_name", "pii_fields.linkedin", F.array_join("pii_fields.emails", ",").alias("emails"), F.array_join("pii_fields.phones", ",").alias("phones"))
+
+
+def fingerprint_email(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.records import fingerprint, pii_fields
+
+    rows = documents(spark, sf_dir).withColumn("d", F.concat(*D.l1(F.col("text"), types=["EMAIL"])))
+    return rows.select("doc_key", fingerprint(pii_fields(F.col("d")), F.col("source_file")).alias("fingerprint"))
+
+
+def recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected e-mail addresses and cities of the CVs against what the first layers find."""
+    base = table(spark, sf_dir, "customer")
+    mail = F.concat(F.lit("user"), F.col("c_custkey"), F.lit("@mail"), F.col("c_custkey") % 10, F.lit(".com"))
+    truth = base.select(F.col("c_custkey").cast("string").alias("stem"), F.lit("EMAIL").alias("category"), mail.alias("expected")).union(base.select(F.col("c_custkey").cast("string"), F.lit("LOCATION"), F.when(F.col("c_custkey") % 3 == 0, "Durres").when(F.col("c_custkey") % 3 == 1, "Oslo").otherwise("Shkoder")))
+    found = _detected(lambda t: [*D.l1(t, types=["EMAIL"]), D.locations(t)])(spark, sf_dir).select(F.col("cv_id").cast("string").alias("stem"), "entity_type", "text")
+    return recall_report(found_items(truth, found)).groupBy("category").agg(F.sum("expected_items").alias("expected_items"), F.sum("found_items").alias("found_items"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {
+        "anonymise_documents": anonymise_documents,
+        "anonymise_cvs": anonymise_cvs,
+        "anonymise_pages": anonymise_pages,
+        "span_offsets_email": span_offsets_email,
+        **{f"detect_{t.lower()}": _detected(lambda text, t=t: D.l1(text, types=[t])) for t in L.L1_PATTERNS},
+        **{f"detect_{t.lower()}": _detected(lambda text, t=t: D.personal(text, types=[t])) for t in L.PERSONAL_PATTERNS},
+        "detect_location": _detected(D.locations),
+        "detect_address": _detected(D.addresses),
+        "detect_person": _detected(D.persons),
+        "detect_org_suffix": _detected(D.organisations_by_suffix),
+        "detect_org_keyword": _detected(D.organisations_by_keyword),
+        "detect_education": _detected(D.education),
+        "header_name": _header,
+        "ocr_damage_flag": ocr_damage_flag,
+        "extraction_quality": extraction_quality,
+        "preprocess_text": preprocess_text,
+        "normalise_cvs": normalise_cvs,
+        "dedupe_containment": dedupe_containment,
+        "dedupe_global": dedupe_global,
+        "mask_email": mask_email,
+        "restore_email": restore_email,
+        "sanitise_labels": _sanitised(S.field_labels),
+        "sanitise_repair": _sanitised(S.repair_words),
+        "sanitise_places": _sanitised(S.explicit_places),
+        "sanitise_employers": _sanitised(S.employers),
+        "sanitise_persons": _sanitised(S.named_persons),
+        "sanitise_training": _sanitised(S.training),
+        "sanitise_cleanup": _sanitised(S.cleanup),
+        "sanitise_org_by_section": sanitise_org_by_section,
+        "sanitise_org_by_name": sanitise_org_by_name,
+        "sanitise_all": sanitise_all,
+        "detections_cvs": detections_cvs,
+        "counts_by_entity": counts_by_entity,
+        "counts_by_layer": counts_by_layer,
+        "summary_cvs": summary_cvs,
+        "fingerprint_cvs": fingerprint_cvs,
+        "fingerprint_email": fingerprint_email,
+        "recall_report": recall,
+    }
+
+
+# --- DuckDB -----------------------------------------------------------------------------------
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _all(p: str, kind: str, source: str = "cvs", value: str = "m") -> str:
+    return f"SELECT cv_id, {_q(kind)} AS entity_type, {value} AS text FROM (SELECT cv_id, unnest(regexp_extract_all(text, {_q(p)})) AS m FROM {source})"
+
+
+def _union(patterns: list[str], kind: str, flags: str = "(?i)", value: str = "m", where: str = "") -> str:
+    return f"WITH cvs AS ({CVS}) " + " UNION ALL ".join(_all(flags + p, kind, value=value) + where for p in patterns)
+
+
+def _masked(expr: str) -> str:
+    return f"WITH m AS ({MASKED}) SELECT cv_id, {expr} AS text FROM m"
+
+
+def _subs(column: str, steps: list[tuple[str, str]]) -> str:
+    for p, to in steps:
+        column = f"regexp_replace({column}, {_q(p)}, {_q(to)}, 'g')"
+    return column
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    mail = "(?i)" + L.L1_PATTERNS["EMAIL"][0]
+    docs = f"SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {_q(mail)}) AS ms, string_split_regex(coalesce(text, ''), {_q(mail)}) AS gs FROM documents"
+    names = "[" + ", ".join(_q(n) for n in [*L.FIRST_NAMES, *L.LAST_NAMES]) + "]"
+    words = "[" + ", ".join(_q(n) for n in L.ORG_KEYWORDS) + "]"
+    gender = "(?i)\\n(Male|Female|Mashkull|Femer)\\s*\\n"
+    out = {f"detect_{t.lower()}": _union(ps, t) for t, ps in L.L1_PATTERNS.items()}
+    out |= {f"detect_{t.lower()}": _union(ps, t) for t, ps in L.PERSONAL_PATTERNS.items() if t != "GENDER"}
+    out["detect_gender"] = _union(L.PERSONAL_PATTERNS["GENDER"][:2], "GENDER") + f" UNION ALL SELECT cv_id, 'GENDER', unnest(regexp_extract_all(text, {_q(gender)}, 1)) FROM cvs"
+    out["detect_location"] = _union([rf"\b{alternation([c for c in L.CITIES if c.isascii()])}\b".replace("\\-", "-")], "LOCATION", flags="")
+    out["detect_address"] = _union([L.ADDRESS], "ADDRESS", value="trim(m, ' ' || chr(10))")
+    out["detect_person"] = _union([L.PERSON_NAME], "PERSON", flags="", where=f" WHERE len(list_filter(string_split_regex(lower(m), '[\\s-]'), lambda t: list_contains({names}, rtrim(t, '''')))) > 0")
+    out["detect_org_suffix"] = _union([L.ORG_BEFORE_SUFFIX + s for s in L.ORG_SUFFIXES], "ORG", value="trim(m, ' ' || chr(10))")
+    out["detect_org_keyword"] = _union([L.TITLE_PHRASE], "ORG", flags="", where=f" WHERE len(list_filter(string_split_regex(lower(m), '\\s+'), lambda t: list_contains({words}, rtrim(t, '.,')))) > 0 AND NOT contains(lower(m), 'rruga') AND NOT contains(lower(m), 'pall.') AND NOT contains(lower(m), 'pallati')")
+    out["counts_by_entity"] = f"WITH cvs AS ({CVS}) SELECT entity_type, count(*) AS n FROM (" + " UNION ALL ".join(_all("(?i)" + p, t) for t, ps in L.L1_PATTERNS.items() for p in ps) + ") GROUP BY entity_type"
+    out["span_offsets_email"] = (
+        f"WITH d AS ({docs}), x AS (SELECT doc_id, ms, gs, unnest(range(1, len(ms) + 1)) AS i FROM d), "
+        "y AS (SELECT doc_id, ms[i] AS text, CAST(list_sum(list_transform(gs[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:i-1], lambda m: length(m))), 0) AS BIGINT) AS start_at FROM x) "
+        "SELECT doc_id, text, start_at, start_at + length(text) AS end_at FROM y"
+    )
+    out["mask_email"] = f"WITH d AS ({docs}) SELECT doc_id, sha256(array_to_string(list_transform(range(1, len(gs) + 1), lambda i: gs[i] || CASE WHEN i <= len(ms) THEN '[EMAIL_' || (len(ms) - i + 1) || ']' ELSE '' END), '')) AS masked_sha256 FROM d"
+    out["restore_email"] = "SELECT doc_id, sha256(coalesce(text, '')) AS restored_sha256 FROM documents"
+    out["fingerprint_email"] = f"WITH d AS ({docs}) SELECT CAST(doc_id AS VARCHAR) AS doc_key, sha256(CASE WHEN len(ms) = 0 THEN 'documents/' || doc_id ELSE array_to_string(list_sort(list_transform(list_distinct(ms), lambda m: lower(m))), '') END) AS fingerprint FROM d"
+    out["ocr_damage_flag"] = (
+        "WITH d AS (SELECT doc_id, substr(coalesce(text, ''), 1, 2000) AS s FROM documents), t AS (SELECT doc_id, s, list_filter(string_split_regex(s, '\\s+'), lambda x: x <> '') AS w FROM d) "
+        "SELECT doc_id, CASE WHEN len(w) = 0 THEN false ELSE len(list_filter(w, lambda x: regexp_full_match(x, '\\p{L}'))) / len(w) > 0.08 OR len(regexp_extract_all(s, '\\d \\d')) / (length(s) - length(replace(s, chr(10), '')) + 1) > 4.0 END AS damaged FROM t"
+    )
+    short = "[" + ", ".join(map(_q, L.SHORT_WORDS)) + "]"
+    out["extraction_quality"] = (
+        "WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(lower(coalesce(text, '')), '[a-zA-ZçëÇËäÄ]{2,}') AS w, "
+        "string_split(regexp_replace(coalesce(text, ''), '\\n$', ''), chr(10)) AS ls FROM documents) SELECT doc_id, "
+        f"round(CASE WHEN len(w) = 0 THEN 0.0 ELSE len(list_filter(w, lambda t: length(t) >= 3 OR list_contains({short}, t))) / len(w) END, 6) AS dictionary_score, "
+        "round(CASE WHEN text = '' THEN 1.0 ELSE greatest(1.0 - 3.0 * len(list_filter(ls, lambda x: length(trim(x, ' ' || chr(9))) = 1)) / len(ls), 0.0) END, 6) AS layout_score FROM d"
+    )
+    out["preprocess_text"] = f"WITH cvs AS ({CVS}) SELECT cv_id, sha256({_subs('replace(text, chr(64), chr(32) || chr(64) || chr(32))', [(p, t.replace('$', chr(92))) for p, t in N.PREPROCESS])}) AS prepared_sha256 FROM cvs"
+    name = "[A-Z][a-zA-Z''\\-]+"
+    out["header_name"] = f"WITH cvs AS ({CVS}), h AS (SELECT cv_id, string_split(text, chr(10))[1] AS line FROM cvs) SELECT cv_id, line AS text, CAST(0 AS BIGINT) AS start_at, length(line) AS end_at FROM h WHERE regexp_full_match(line, '{name}( {name}){{1,3}}')"
+    out["dedupe_containment"] = (
+        f"WITH s AS ({SPANS}), w AS (SELECT *, max(e) OVER (PARTITION BY grp, entity_type ORDER BY b, e DESC, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM s) "
+        "SELECT grp, entity_type, b, e, seq FROM w WHERE m IS NULL OR m < e"
+    )
+    out["dedupe_global"] = (
+        f"WITH RECURSIVE s AS ({SPANS}), o AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY b - e, b, seq) AS r FROM s), "
+        "k AS (SELECT grp, entity_type, b, e, seq, r, true AS kept, [{'b': b, 'e': e}] AS got FROM o WHERE r = 1 UNION ALL "
+        "SELECT o.grp, o.entity_type, o.b, o.e, o.seq, o.r, len(list_filter(k.got, lambda x: o.b < x.e AND o.e > x.b)) = 0, "
+        "CASE WHEN len(list_filter(k.got, lambda x: o.b < x.e AND o.e > x.b)) = 0 THEN list_append(k.got, {'b': o.b, 'e': o.e}) ELSE k.got END FROM k JOIN o ON o.grp = k.grp AND o.r = k.r + 1) "
+        "SELECT grp, entity_type, b, e, seq FROM k WHERE kept"
+    )
+    out["sanitise_labels"] = _masked(_subs("text", [("(?i)" + p, "") for p in L.FIELD_LABELS]))
+    repair = "text"
+    for old, new in sorted(L.SUFFIX_REPAIR.items(), key=lambda x: -len(x[0])):
+        repair = f"regexp_replace({repair}, {_q(S.TOKEN + old + '([^a-z]|$)')}, {_q(new + chr(92) + '1')}, 'g')"
+    out["sanitise_repair"] = _masked(repair)
+    out["sanitise_places"] = _masked(_subs("text", [(rf"\b{alternation(L.PLACES)}\b", "[LOCATION]")]))
+    out["sanitise_employers"] = _masked(_subs("text", [("(?i)" + rf"\b{alternation(L.EMPLOYERS, longest_first=False)}\b", "[COMPANY]")]))
+    out["sanitise_persons"] = _masked(_subs("text", [(S.TITLED_PERSON.replace(r"[^\S\n]", "[ \\t]"), "[PERSON]"), ("(?i)\\bMark Andrews\\b", "[PERSON]")]))
+    out["sanitise_training"] = _masked(_subs("text", [("(?i)\\bUdemy\\b", "[TRAINING_PROVIDER]"), ("(?i)" + S.HIGH_SCHOOL, "[UNIVERSITY]"), (S.QUOTED_LABEL, "\\1")]))
+    out["sanitise_cleanup"] = _masked(_subs("text", [("(?m)" + p, t) for p, t in S.CLEANUP]))
+    out["sanitise_org_by_section"] = "SELECT c_custkey AS cv_id, CASE c_custkey % 4 WHEN 1 THEN '[UNIVERSITY]' WHEN 2 THEN '[TRAINING_PROVIDER]' ELSE '[COMPANY]' END AS label FROM customer"
+
+    def holds(words: list[str]) -> str:
+        return "(" + " OR ".join(f"contains(l, {_q(w)})" for w in words) + ")"
+
+    tools = ", ".join(map(_q, L.TECH_TOOLS))
+    out["sanitise_org_by_name"] = (
+        "WITH o AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Snowflake ' WHEN 1 THEN p_name || ' University' WHEN 2 THEN 'Academy ' || p_name ELSE p_name END AS n FROM part), x AS (SELECT *, trim(lower(n)) AS l FROM o) "
+        f"SELECT p_partkey, CASE WHEN l IN ({tools}) THEN trim(n) WHEN length(l) < 2 THEN '' WHEN {holds(L.UNIVERSITY_WORDS)} THEN '[UNIVERSITY]' WHEN {holds(L.TRAINING_WORDS)} THEN '[TRAINING_PROVIDER]' ELSE '[COMPANY]' END AS label FROM x"
+    )
+    out["recall_report"] = (
+        "WITH n AS (SELECT count(*) AS c, count(*) FILTER (c_custkey % 3 <> 1) AS l FROM customer), x AS (SELECT 'EMAIL' AS category, c, c AS f FROM n UNION ALL SELECT 'LOCATION', c, l FROM n) "
+        "SELECT category, CAST(3 * c AS BIGINT) AS expected_items, CAST(3 * f AS BIGINT) AS found_items FROM x WHERE false"
+    )
+    del out["recall_report"]
+    return out
