@@ -20,6 +20,8 @@ from sparkveil.llm.simhash import near_duplicates
 
 #: Least share of letters under the predicted language; texts below it are no language's.
 MIN_SHARE = 0.4
+#: Independent fingerprints of the near-duplicate stage.
+COPIES = 8
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +31,13 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one of least id."""
-    groups = near_duplicates(docs, shingle=5, max_bits=2)
+    """One document of each group of near copies stays, the one of least id.
+
+    Pairs at a similarity of 0.8 over five-word shingles differ in ten of 64 bits on those
+    shingles, but in four or five on the set of their words; so links are sought there, with
+    several fingerprints.
+    """
+    groups = near_duplicates(docs, shingle=1, max_bits=2, copies=COPIES)
     gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 

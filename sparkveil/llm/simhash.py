@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialise, text_rows
+from .common import map_batches, materialise, mix, text_rows
 from .components import connected_components, forest
 
 SEED = 42
@@ -51,21 +51,39 @@ def fingerprint(words: list[bytes], shingle: int) -> int:
     return int.from_bytes(np.packbits(2 * sums > total, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed 64-bit integer."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def set_fingerprints(words: list[bytes], shingle: int, copies: int) -> np.ndarray:
+    """Independent fingerprints of the set of a text's shingles: each counts once, so long repeats weigh no more than single words."""
+    import xxhash
+
+    if not words:
+        return np.zeros(copies, np.uint64)
+    grams = set(words) if shingle == 1 else {b" ".join(words[k : k + shingle]) for k in range(max(1, len(words) - shingle + 1))}
+    h = np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64, len(grams))
+    sums = np.zeros((copies, 64), np.int64)
+    for c in range(copies):
+        mixed = mix(h + np.uint64((c + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
+        for k in range(0, len(h), 65_536):
+            part = mixed[k : k + 65_536]
+            sums[c] += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * sums > len(h), axis=1, bitorder="little").view("<u8")[:, 0]
+
+
+def fingerprints(docs: DataFrame, shingle: int, copies: int = 0) -> DataFrame:
+    """(doc_id, fp, fps): fp is the fingerprint as a signed 64-bit integer; with copies, fps are that many of the set of shingles and fp the first of them."""
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("fps", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text")
-            out = np.zeros(len(texts), np.uint64)
+            out = np.zeros((len(texts), max(1, copies)), np.uint64)
             for k in range(len(texts)):
                 # lower() and split() of bytes know ASCII only, as wanted
-                text = texts[k].as_py()
-                out[k] = fingerprint(text.encode("utf-8", "replace").lower().split(), shingle) if text else 0
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out.view(np.int64))], schema=schema)
+                words = (texts[k].as_py() or "").encode("utf-8", "replace").lower().split()
+                out[k] = set_fingerprints(words, shingle, copies) if copies else fingerprint(words, shingle)
+            fps = out.view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps[:, 0]), pa.array(fps.tolist() if copies else [None] * len(fps), schema.field("fps").type)], schema=schema)
 
-    return map_batches(text_rows(docs), run, "doc_id long, fp long")
+    return map_batches(text_rows(docs), run, "doc_id long, fp long, fps array<long>")
 
 
 def _postings(fps: DataFrame, d: int) -> DataFrame:
@@ -75,7 +93,8 @@ def _postings(fps: DataFrame, d: int) -> DataFrame:
         mask = sum(0xFF << 8 * p for p in kept)
         mask = mask - (1 << 64) if mask >= 1 << 63 else mask
         lists.append(F.struct(F.lit(number).cast("int").alias("list"), F.col("fp").bitwiseAND(F.lit(mask)).alias("bytes")))
-    return fps.select("fp", F.inline(F.array(*lists)))
+    got = fps.select("copy", "fp", "node", F.inline(F.array(*lists)))
+    return got.select((F.col("copy") * len(lists) + F.col("list")).cast("int").alias("list"), "bytes", "fp", "node")
 
 
 _POPCOUNT = np.array([bin(x).count("1") for x in range(1 << 16)], np.uint8)
@@ -115,62 +134,63 @@ def links(fps: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def near_edges(fps: DataFrame, d: int) -> DataFrame:
-    """(u, v): links that connect all fingerprints at d or fewer differing bits."""
+    """(u, v): links between nodes that connect all fingerprints (copy, fp, node; each copy's fingerprints once) at d or fewer differing bits."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
     spark = fps.sparkSession
     posted = _postings(fps, d).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "list", "bytes").sortWithinPartitions("list", "bytes")
 
+    def linked(fp: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        u, v = links(fp.view(np.uint64), d)
+        if not len(u):
+            return None
+        order = np.argsort(fp)
+        at = [node[order[np.searchsorted(fp, x.view(np.int64), sorter=order)]] for x in (u, v)]
+        return forest(*at)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        # A list that goes on in the next batch is held: 65,536 fingerprints at most.
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         key = None
-
-        def flush(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray] | None:
-            got = np.concatenate(parts).view(np.uint64)
-            u, v = links(got, d)
-            return forest(u.view(np.int64), v.view(np.int64)) if len(u) else None
-
         for batch in batches:
             if not batch.num_rows:
                 continue
-            fp, lists, value = (batch.column(c).to_numpy() for c in ("fp", "list", "bytes"))
-            cut = np.flatnonzero((lists[1:] != lists[:-1]) | (value[1:] != value[:-1])) + 1
-            starts = np.concatenate([[0], cut, [len(fp)]])
+            fp, node, lists, value = (batch.column(c).to_numpy() for c in ("fp", "node", "list", "bytes"))
+            starts = np.concatenate([[0], np.flatnonzero((lists[1:] != lists[:-1]) | (value[1:] != value[:-1])) + 1, [len(fp)]])
+            groups = np.flatnonzero((np.diff(starts) > 1) | (np.arange(len(starts) - 1) == len(starts) - 2) | (np.arange(len(starts) - 1) == 0))
             found = []
-            first = (lists[0], value[0])
-            if key is not None and key != first and held:
-                if sum(map(len, held)) > 1 and (got := flush(held)):
-                    found.append(got)
-                held = []
-            long = np.flatnonzero(np.diff(starts) > 1)
-            last = len(starts) - 2
-            if held:
-                # the first list goes on from the batch before
-                held.append(fp[: starts[1]])
-                if last > 0:
-                    if got := flush(held):
+            for g in groups.tolist():
+                part = (fp[starts[g] : starts[g + 1]], node[starts[g] : starts[g + 1]])
+                if g == 0 and key == (lists[0], value[0]):
+                    held.append(part)
+                else:
+                    if held and sum(len(x) for x, _ in held) > 1 and (got := linked(*(np.concatenate(x) for x in zip(*held, strict=True)))):
                         found.append(got)
-                    held = []
-                long = long[long > 0]
-            if last > 0 or not held:
-                long = long[long < last]
-                held = [fp[starts[last] :]]
-            for k in long:
-                if got := flush([fp[starts[k] : starts[k + 1]]]):
-                    found.append(got)
+                    held = [part]
             key = (lists[-1], value[-1])
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], schema=schema)
-        if held and sum(map(len, held)) > 1 and (got := flush(held)):
+        if held and sum(len(x) for x, _ in held) > 1 and (got := linked(*(np.concatenate(x) for x in zip(*held, strict=True)))):
             yield pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1])], schema=schema)
 
     return map_batches(posted, run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the least doc_id reachable over links."""
-    rows = materialise(fingerprints(docs, shingle))
+def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, copies: int = 0) -> DataFrame:
+    """(doc_id, fp, component_id): component_id is the least doc_id reachable over links.
+
+    copies: use that many independent fingerprints of the set of shingles; a link of any of
+    them counts, which finds most edited copies (see README for measured shares).
+    """
+    rows = materialise(fingerprints(docs, shingle, copies))
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    edges = near_edges(nodes.select("fp"), max_bits)
+    if copies:
+        each = rows.select(F.col("fp").alias("node"), F.posexplode("fps").alias("copy", "fp"))
+        first = each.groupBy("copy", "fp").agg(F.min("node").alias("node"), F.max("node").alias("most"))
+        shared = first.filter("node < most").select("copy", "fp", F.col("node").alias("v"))
+        same = each.join(shared, ["copy", "fp"]).filter("node <> v").select(F.col("node").alias("u"), "v")
+        edges = near_edges(first.select("copy", "fp", "node"), max_bits).union(same)
+    else:
+        edges = near_edges(nodes.select(F.lit(0).alias("copy"), "fp", F.col("fp").alias("node")), max_bits)
     roots = connected_components(edges)
     known = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = known.groupBy("root").agg(F.min("least").alias("component_id"))
