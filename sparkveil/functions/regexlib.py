@@ -54,6 +54,33 @@ def holds(text: Column, words: list[str] = (), regex: str | None = None) -> Colu
     return let(F.lower(text), tested)
 
 
+def quoted(s: str) -> str:
+    """A string as a SQL literal."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
+
+
+def holds_sql(text: str, words: list[str] = (), regex: str | None = None) -> str:
+    """``holds`` as SQL over a column."""
+    tests = [f"contains(l, {quoted(w)})" for w in words] + ([f"l rlike {quoted(regex)}"] if regex else []) + [f"l rlike {quoted(ODD_CASE)}"]
+    return f"exists(array(lower({text})), l -> {' or '.join(tests)})"
+
+
+def spans_sql(text: str, p: str, made: str, kind: str, value: str = "v", keep: str = "true", gate: str = "true") -> str:
+    """``spans`` as SQL over a column; made is the struct of a span (of array type kind) by its text ``r``, ``b`` and ``e``.
+
+    value maps a match ``v`` to the reported text ``r``, keep filters by ``r``.  A plan of many
+    patterns is quicker to build as text than operation by operation.
+    """
+    p, none = quoted(p), f"cast(array() as {kind})"
+    kept = f"flatten(transform(transform(array(v), v -> {value}), r -> if({keep}, array({made}), array())))"
+    found = f"flatten(transform(array(y.m), v -> flatten(transform(array(a.at + length(y.g)), b -> flatten(transform(array(b + length(v)), e -> {kept}))))))"
+    step = f"named_struct('at', a.at + length(y.g) + length(y.m), 'got', cast(concat(a.got, cast({found} as {kind})) as {kind}))"
+    # the texts between matches give the offsets; they are cut only where there are matches
+    pairs = f"zip_with(m, slice(split({text}, {p}, -1), 1, size(m)), (m, g) -> named_struct('m', m, 'g', g))"
+    whole = f"flatten(transform(array(regexp_extract_all({text}, {p}, 0)), m -> if(size(m) = 0, {none}, aggregate({pairs}, named_struct('at', 0, 'got', {none}), (a, y) -> {step}).got)))"
+    return f"if({gate}, {whole}, {none})"
+
+
 def gated(text: Column, gate: Callable[[Column], Column], value: Callable[[Column], Column]) -> Column:
     """A rewrite of texts that pass a cheap test; the text is evaluated once, so rewrites may be nested."""
     return let(text, lambda t: F.when(gate(t), value(t)).otherwise(t))

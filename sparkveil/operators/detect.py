@@ -7,25 +7,34 @@ from pyspark.sql import functions as F
 
 from ..config import Options
 from ..functions import lexicons as L
-from ..functions.regexlib import alternation, holds, pattern, spans, strip
+from ..functions.regexlib import alternation, holds_sql, pattern, quoted, spans_sql, strip
 
 SPAN = "array<struct<entity_type:string,text:string,start:int,end:int,layer:string,confidence:double>>"
 
 
-def typed(found: Column, entity_type: str, layer: str, confidence: float | None) -> Column:
-    """Matches as spans of a type and layer."""
-    return F.transform(
-        found,
-        lambda m: F.struct(
-            F.lit(entity_type).alias("entity_type"), m["text"].alias("text"), m["start"].alias("start"), m["end"].alias("end"), F.lit(layer).alias("layer"), F.lit(confidence).cast("double").alias("confidence")
-        ),
-    ).cast(SPAN)
+STRIP = r"regexp_replace(v, '(?U)^[\\s\\x1c-\\x1f]+|[\\s\\x1c-\\x1f]+\\z', '')"
+
+
+def name_of(text: Column | str) -> str:
+    """The name of a text column."""
+    return text if isinstance(text, str) else text._jc.toString()
+
+
+def found(text: Column | str, p: str, entity_type: str, layer: str, confidence: float | None, **more) -> Column:
+    """Matches of a pattern as spans of a type and layer."""
+    score = "cast(null as double)" if confidence is None else f"cast({confidence} as double)"
+    made = f"named_struct('entity_type', '{entity_type}', 'text', r, 'start', b, 'end', e, 'layer', '{layer}', 'confidence', {score})"
+    return F.expr(spans_sql(name_of(text), p, made, SPAN, **more))
+
+
+def words_sql(words: list[str]) -> str:
+    return "array(" + ", ".join(map(quoted, words)) + ")"
 
 
 def by_patterns(text: Column, patterns: dict[str, list[str]], layer: str, types=None) -> list[Column]:
     """One array for each pattern, in order."""
     return [
-        typed(spans(text, pattern(p, ignore_case=True), gate=holds(text, *gate)), t, layer, 0.99)
+        found(text, pattern(p, ignore_case=True), t, layer, 0.99, gate=holds_sql(name_of(text), *gate))
         for t, ps in patterns.items()
         if types is None or t in types
         for p, gate in zip(ps, L.GATES[t], strict=True)
@@ -46,56 +55,44 @@ def personal(text: Column, types=None) -> list[Column]:
 def locations(text: Column) -> Column:
     """DET-8."""
     first = "[" + "".join(sorted({c[0] for c in L.CITIES})) + "]"
-    return typed(spans(text, pattern(rf"(?={first})\b{alternation(L.CITIES)}\b"), gate=text.rlike(rf"(?={first}){alternation(L.CITIES)}")), "LOCATION", "L2_ner", None)
+    gate = f"{name_of(text)} rlike {quoted(f'(?={first}){alternation(L.CITIES)}')}"
+    return found(text, pattern(rf"(?={first})\b{alternation(L.CITIES)}\b"), "LOCATION", "L2_ner", None, gate=gate)
 
 
 def addresses(text: Column) -> Column:
     """DET-9: the reported value is stripped, the span is the match."""
-    return typed(spans(text, pattern(L.ADDRESS, ignore_case=True), value=strip, gate=holds(text, [], r"rr(?:uga|\.)?[\s\P{ASCII}]")), "ADDRESS", "L2_ner", None)
+    return found(text, pattern(L.ADDRESS, ignore_case=True), "ADDRESS", "L2_ner", None, value=STRIP, gate=holds_sql(name_of(text), [], r"rr(?:uga|\.)?[\s\P{ASCII}]"))
 
 
 def persons(text: Column) -> Column:
     """DET-10: title-case names one of whose tokens is a known first or last name."""
-    known = F.array(*map(F.lit, [*L.FIRST_NAMES, *L.LAST_NAMES]))
-
-    def named(m: Column) -> Column:
-        tokens = F.transform(F.split(m, r"(?U)[\s\x1c-\x1f\-]"), lambda t: F.regexp_replace(F.lower(t), "'+$", ""))
-        return F.arrays_overlap(tokens, known)
-
-    return typed(spans(text, pattern(L.PERSON_NAME), keep=named, gate=text.rlike(r"(?U)[a-zçëä']\s+[A-ZÇËÄ][a-zçëä']")), "PERSON", "L2_ner", None)
+    tokens = r"transform(split(r, '(?U)[\\s\\x1c-\\x1f\\-]'), t -> regexp_replace(lower(t), '\'+$', ''))"
+    gate = f"{name_of(text)} rlike " + quoted(r"(?U)[a-zçëä']\s+[A-ZÇËÄ][a-zçëä']")
+    return found(text, pattern(L.PERSON_NAME), "PERSON", "L2_ner", None, keep=f"arrays_overlap({tokens}, {words_sql([*L.FIRST_NAMES, *L.LAST_NAMES])})", gate=gate)
 
 
 def organisations_by_suffix(text: Column, options: Options = Options()) -> list[Column]:
     """DET-11; a suffix may end inside a word unless ``strict_suffix`` asks for its end."""
     end = r"(?!\w)" if options.strict_suffix else ""
     return [
-        typed(spans(text, pattern(L.ORG_BEFORE_SUFFIX + s + end, ignore_case=True), value=strip, gate=holds(text, [], rf"[\s\x1c-\x1f\P{{ASCII}}]{s.lower()}")), "ORG", "L2_ner", None)
+        found(text, pattern(L.ORG_BEFORE_SUFFIX + s + end, ignore_case=True), "ORG", "L2_ner", None, value=STRIP, gate=holds_sql(name_of(text), [], rf"[\s\x1c-\x1f\P{{ASCII}}]{s.lower()}"))
         for s in L.ORG_SUFFIXES
     ]
 
 
 def organisations_by_keyword(text: Column) -> Column:
     """DET-12."""
-    words = F.array(*map(F.lit, L.ORG_KEYWORDS))
-
-    def known(m: Column) -> Column:
-        low = F.lower(m)
-        tokens = F.transform(F.split(low, r"(?U)[\s\x1c-\x1f]+"), lambda t: F.regexp_replace(t, "[.,]+$", ""))
-        address = F.lit(False)
-        for w in L.ADDRESS_WORDS:
-            address = address | low.contains(w)
-        return F.arrays_overlap(tokens, words) & ~address
-
-    return typed(spans(text, pattern(L.TITLE_PHRASE), keep=known, gate=holds(text, [], rf"(?<![a-z])(?=[{''.join(sorted({w[0] for w in L.ORG_KEYWORDS}))}]){alternation(L.ORG_KEYWORDS)}(?![a-z])")), "ORG", "L2_ner", None)
+    tokens = r"transform(split(lower(r), '(?U)[\\s\\x1c-\\x1f]+'), t -> regexp_replace(t, '[.,]+$', ''))"
+    address = " or ".join(f"contains(lower(r), {quoted(w)})" for w in L.ADDRESS_WORDS)
+    first = "".join(sorted({w[0] for w in L.ORG_KEYWORDS}))
+    gate = holds_sql(name_of(text), [], rf"(?<![a-z])(?=[{first}]){alternation(L.ORG_KEYWORDS)}(?![a-z])")
+    return found(text, pattern(L.TITLE_PHRASE), "ORG", "L2_ner", None, keep=f"arrays_overlap({tokens}, {words_sql(L.ORG_KEYWORDS)}) and not ({address})", gate=gate)
 
 
 def education(text: Column) -> list[Column]:
     """DET-13: values over eight signs, right-trimmed of separators."""
-
-    def value(m: Column) -> Column:
-        return F.regexp_replace(strip(m), r"[,|—\-]+$", "")
-
-    return [typed(spans(text, pattern(L.EDUCATION.format(keyword=k), ignore_case=True), keep=lambda v: F.length(v) > 8, value=value, gate=holds(text, [k])), "ORG", "L2_ner", None) for k in L.EDUCATION_KEYWORDS]
+    value = f"regexp_replace({STRIP}, {quoted('[,|—-]+$')}, '')"
+    return [found(text, pattern(L.EDUCATION.format(keyword=k), ignore_case=True), "ORG", "L2_ner", None, value=value, keep="length(r) > 8", gate=holds_sql(name_of(text), [k])) for k in L.EDUCATION_KEYWORDS]
 
 
 def heuristic(text: Column, options: Options = Options()) -> list[Column]:

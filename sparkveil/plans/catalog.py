@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
-from ..functions.regexlib import MATCH, alternation, pattern, spans, strip
+from ..functions.regexlib import alternation, pattern, spans
 from ..operators import detect as D
 from ..operators import normalise as N
 from ..operators import resolve as R
