@@ -40,23 +40,26 @@ def byte_symbols(text: str) -> np.ndarray:
 
 
 def suffix_order(symbols: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix array, its inverse) by prefix doubling; no common prefix is longer than ``most``."""
+    """(suffix array, its inverse) by prefix doubling of the suffixes that are still alike; no common prefix is longer than ``most``."""
     n = len(symbols)
-    _, rank = np.unique(symbols, return_inverse=True)
-    rank = rank.astype(np.int64)
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(symbols)
+    s = symbols[order]
+    begin = np.concatenate([[True], s[1:] != s[:-1]])
+    rank = np.empty(n, np.int64)
+    rank[order] = np.flatnonzero(begin)[np.cumsum(begin) - 1]  # the first row of a suffix's group
+    slots = np.flatnonzero(~(begin & np.concatenate([begin[1:], [True]])))
     k = 1
-    while k <= most:
-        second = np.zeros(n, np.int64)
-        second[:-k or None] = rank[k:] + 1
-        key = rank * (n + 1) + second
-        order = np.argsort(key, kind="stable")
-        s = key[order]
-        new = np.zeros(n, np.int64)
-        new[order] = np.concatenate([[0], np.cumsum(s[1:] != s[:-1])])
-        rank = new
-        if rank[order[-1]] == n - 1:
-            break
+    while k <= most and len(slots):
+        a = order[slots]
+        after = a + k
+        second = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        key = rank[a] * (n + 1) + second
+        by = np.argsort(key)
+        a, key = a[by], key[by]
+        order[slots] = a
+        begin = np.concatenate([[True], key[1:] != key[:-1]])
+        rank[a] = slots[np.flatnonzero(begin)[np.cumsum(begin) - 1]]
+        slots = slots[~(begin & np.concatenate([begin[1:], [True]]))]
         k *= 2
     inverse = np.empty(n, np.int64)
     inverse[order] = np.arange(n)
@@ -90,7 +93,7 @@ def expand(symbols: np.ndarray, length: int, most: int) -> np.ndarray:
             rows = np.repeat(ul - np.concatenate([[0], np.cumsum(us)[:-1]]), us) + np.arange(us.sum())
             owner = np.repeat(np.arange(len(ul)), us)
             to = step[rows]
-            by = np.lexsort((to, owner))
+            by = np.argsort(owner * n + to)
             to, owner = to[by], owner[by]
             sym = first[to]
             cut = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (sym[1:] != sym[:-1])]))
