@@ -16,7 +16,7 @@ from ..operators import detect as D
 from ..operators import normalise as N
 from ..operators import resolve as R
 from ..operators import sanitise as S
-from ..operators.evaluate import CATEGORY_TYPES, found_items, recall_report
+from ..operators.evaluate import found_items, recall_report
 from ..operators.records import batch_summary, counts_by_type, detections_table, records
 from ..sources.documents import dictionary_score, from_table, layout_score
 from . import engine as E
@@ -330,8 +330,8 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT p_partkey, CASE WHEN l IN ({tools}) THEN trim(n) WHEN length(l) < 2 THEN '' WHEN {holds(L.UNIVERSITY_WORDS)} THEN '[UNIVERSITY]' WHEN {holds(L.TRAINING_WORDS)} THEN '[TRAINING_PROVIDER]' ELSE '[COMPANY]' END AS label FROM x"
     )
     out["recall_report"] = (
-        "WITH n AS (SELECT count(*) AS c, count(*) FILTER (c_custkey % 3 <> 1) AS l FROM customer), x AS (SELECT 'EMAIL' AS category, c, c AS f FROM n UNION ALL SELECT 'LOCATION', c, l FROM n) "
-        "SELECT category, CAST(3 * c AS BIGINT) AS expected_items, CAST(3 * f AS BIGINT) AS found_items FROM x WHERE false"
+        "WITH n AS (SELECT count(*) AS c, count(*) FILTER (c_custkey % 3 <> 1) AS l FROM customer), x AS (SELECT 'EMAIL' AS category, 2 * c AS e, 2 * c AS f FROM n "
+        "UNION ALL SELECT 'LOCATION', 2 * c, 2 * l FROM n UNION ALL SELECT NULL, 2 * c, c + l FROM n) "
+        "SELECT category, CAST(e AS BIGINT) AS expected_items, CAST(f AS BIGINT) AS found_items FROM x"
     )
-    del out["recall_report"]
     return out
