@@ -6,7 +6,7 @@ language over a bounded sample of the labelled rows; the model is a table of
 language is the log likelihood of its n-grams; languages in which the word's script hardly
 occurs are no candidates.  A path through the words pays ``SWITCH`` at each change of
 language; the best path (Viterbi) gives the spans.  Where no stretch of words gains more
-than one switch costs, the best path has a single label, which is decided by prefix sums
+than a switch costs, the best path has a single label, which is decided by prefix sums
 without running the recursion.
 
 Defined cases: null text, or a text without a letter, is ``und`` with score 0 and no spans; a
@@ -16,7 +16,6 @@ ties go to the language that sorts first; other columns are ignored.
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,15 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from xxhash import xxh64_intdigest
 
-from .common import map_batches
+from .common import Rolling, map_batches
 
 BUCKETS = 1 << 16
 #: Labelled rows of each language that training may use on average (the documented bound of the sample).
 TRAIN_ROWS = 4000
 SWITCH = 12.0
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 #: First code point of each Unicode range that counts as one script.
 SCRIPTS = [
     (0x0000, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"),
@@ -44,29 +42,55 @@ SCRIPTS = [
 ]
 STARTS = [s for s, _ in SCRIPTS]
 NAMES = sorted({n for _, n in SCRIPTS})
-NUMBER = {n: k for k, n in enumerate(NAMES)}
+SCRIPT_NUMBERS = np.array([NAMES.index(n) for _, n in SCRIPTS])
 
 
-def script_of(ch: str) -> int:
-    return NUMBER[SCRIPTS[bisect_right(STARTS, ord(ch)) - 1][1]]
+_ALPHA: list[np.ndarray] = []
 
 
-def letters_of(word: str) -> str:
-    return "".join([c for c in word if c.isalpha()]).lower()
+def alpha() -> np.ndarray:
+    """Which code points are letters."""
+    if not _ALPHA:
+        _ALPHA.append(np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000))
+    return _ALPHA[0]
 
 
-def features(letters: str) -> np.ndarray:
-    """Buckets of the n-grams of 1 to 4 letters, with edges, and of the whole word."""
-    b = np.frombuffer(f"\x02{letters}\x03".encode("utf-32-le"), "<u4").astype(np.uint64)
-    out = [b]
-    h = b
-    for n in range(2, min(5, len(b) + 1)):
-        h = (h[:-1] if n > 2 else b[:-1]) * np.uint64(0x100000001B3) ^ b[n - 1 :]
-        out.append(h + np.uint64(n << 40))
-    whole = np.uint64(xxh64_intdigest(letters.encode()))
-    f = np.concatenate([*out, np.array([whole], np.uint64)])
-    f = f * np.uint64(0x9E3779B97F4A7C15)
-    return (f >> np.uint64(48)).astype(np.int64)
+def scripts_of(code_points: np.ndarray) -> np.ndarray:
+    return SCRIPT_NUMBERS[np.searchsorted(STARTS, code_points, "right") - 1]
+
+
+class Letters:
+    """The letters of a list of words, lower case, in one array: each word between the edges 2 and 3."""
+
+    def __init__(self, words: list[str]) -> None:
+        # Words hold no control 2 or 3 after this; an edge pair without letters is a word without any.
+        joined = "\x03\x02".join([w.replace("\x02", "").replace("\x03", "") for w in words] if any("\x02" in w or "\x03" in w for w in words) else words)
+        points = np.frombuffer(f"\x02{joined}\x03".lower().encode("utf-32-le", "replace"), "<u4")
+        letter = alpha()[points]
+        keep = letter | (points == 2) | (points == 3)
+        self.points, letter = points[keep].astype(np.uint64), letter[keep]
+        self.word = np.cumsum(self.points == 2) - 1
+        self.letter = letter
+        self.count = np.bincount(self.word[letter], minlength=len(words))
+
+    def grams(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(bucket, word) of the n-grams of 1 to 4 signs, by n, and of the whole words; words ascend."""
+        p, word = self.points, self.word
+        some = self.count[word] > 0
+        h = p
+        for n in range(1, 5):
+            if n > 1:
+                h = h[:-1] * np.uint64(0x100000001B3) ^ p[n - 1 :]
+            ok = some[: len(h)] & (word[: len(h)] == word[n - 1 :])
+            yield self._bucket(h[ok] + np.uint64(n << 40)), word[: len(h)][ok]
+        edge = np.flatnonzero(p == 2)
+        ok = self.count > 0
+        ends = np.concatenate([edge[1:], [len(p)]])
+        yield self._bucket(Rolling(p).spans(edge[ok], ends[ok])), np.flatnonzero(ok)
+
+    @staticmethod
+    def _bucket(h: np.ndarray) -> np.ndarray:
+        return (h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.int64)
 
 
 class Model:
@@ -94,11 +118,12 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
                 words.setdefault(lang, Counter()).update(text.split())
             for lang, found in words.items():
                 sums = total.setdefault(lang, np.zeros(BUCKETS + len(NAMES), np.int64))
-                for word, n in found.items():
-                    if letters := letters_of(word):
-                        np.add.at(sums, features(letters), n)
-                        for ch in letters:
-                            sums[BUCKETS + script_of(ch)] += n
+                letters = Letters([*found])
+                weight = np.fromiter(found.values(), np.int64, len(found))
+                for bucket, word in letters.grams():
+                    sums[:BUCKETS] += np.bincount(bucket, weights=weight[word], minlength=BUCKETS).astype(np.int64)
+                scripts = scripts_of(letters.points[letters.letter])
+                sums[BUCKETS:] += np.bincount(scripts, weights=weight[letters.word[letters.letter]], minlength=len(NAMES)).astype(np.int64)
         for lang, sums in total.items():
             at = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(sums[at])], schema=schema)
@@ -117,30 +142,42 @@ class Scorer:
         self.rows = np.zeros((1 << 12, self.n), np.float32)
         self.letters = np.zeros(1 << 12, np.int32)
 
-    def _score(self, word: str) -> tuple[np.ndarray, int]:
-        letters = letters_of(word)
-        if not letters or not self.n:
-            return np.zeros(self.n, np.float32), len(letters)
-        s = self.model.table[features(letters)].sum(0)
-        script = Counter(map(script_of, letters)).most_common(1)[0][0]
-        ok = self.model.allowed[script]
-        if ok.any() and not ok.all():
-            s = np.where(ok, s, s[ok].min() - 20)
-        return s - s.max(), len(letters)
+    def _score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(scores, letters) of each word; the best language of a word scores 0."""
+        letters = Letters(words)
+        out = np.zeros((len(words), self.n), np.float32)
+        if not self.n:
+            return out, letters.count
+        for bucket, word in letters.grams():
+            if len(word):
+                first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+                out[word[first]] += np.add.reduceat(self.model.table[bucket], first, axis=0)
+        # The script of most letters narrows the candidates.
+        at = letters.word[letters.letter]
+        by = np.bincount(at * len(NAMES) + scripts_of(letters.points[letters.letter]), minlength=len(words) * len(NAMES)).reshape(len(words), len(NAMES))
+        ok = self.model.allowed[by.argmax(1)]
+        narrow = ok.any(1) & ~ok.all(1) & (letters.count > 0)
+        if narrow.any():
+            low = np.where(ok[narrow], out[narrow], np.inf).min(1, keepdims=True) - 20
+            out[narrow] = np.where(ok[narrow], out[narrow], low)
+        return out - out.max(1, keepdims=True), letters.count
 
     def look_up(self, words: list[str]) -> None:
-        new = {w for w in words if w not in self.cache}
+        seen = set(words)
+        new = [*seen.difference(self.cache)]
         if len(self.cache) + len(new) > CACHE_WORDS:
             self.cache.clear()
-            new = set(words)
-        need = len(self.cache) + len(new)
+            new = [*seen]
+        begin = len(self.cache)
+        need = begin + len(new)
         if need > len(self.letters):
             size = 1 << need.bit_length()
             self.rows, self.letters = np.resize(self.rows, (size, self.n)), np.resize(self.letters, size)
-        for w in new:
-            k = len(self.cache)
-            self.rows[k], self.letters[k] = self._score(w)
-            self.cache[w] = k
+        for k in range(0, len(new), 20_000):
+            part = new[k : k + 20_000]
+            at = begin + k
+            self.rows[at : at + len(part)], self.letters[at : at + len(part)] = self._score(part)
+        self.cache.update(zip(new, range(begin, need), strict=True))
 
 
 def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -153,7 +190,11 @@ def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     gain = np.cumsum(scores - scores[:, best : best + 1], 0, dtype=np.float64)
     low = np.minimum(np.minimum.accumulate(gain, 0), 0)
     low = np.vstack([np.zeros((1, k)), low[:-1]])
-    if (gain - low).max() <= switch:
+    # Stretches of other labels beside the best one pay a switch each, so none may gain more than that;
+    # a path without the best label pays one switch at least, or is a single label and no better.
+    others = scores - scores[:, best : best + 1]
+    others[:, best] = -np.inf
+    if (gain - low).max() <= switch and (k == 1 or others.max(1).sum() <= switch):
         return np.full(n, best, np.int64)
     back = np.zeros((n, k), np.int64)
     here = scores[0].tolist()
