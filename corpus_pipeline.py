@@ -13,15 +13,13 @@ from pyspark.sql import functions as F
 from sparkveil.llm.common import materialise
 from sparkveil.llm.decontaminate import find_leaks
 from sparkveil.llm.language_id import held_out, label_rows, train
+from sparkveil.llm.near_copies import near_copies
 from sparkveil.llm.packing import pack_documents
 from sparkveil.llm.pii import find_pii_columns, redact
 from sparkveil.llm.queries import table, tokenizer_path
-from sparkveil.llm.simhash import near_duplicates
 
 #: Least share of letters under the predicted language; texts below it are no language's.
 MIN_SHARE = 0.4
-#: Independent fingerprints of the near-duplicate stage.
-COPIES = 8
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,13 +31,15 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one of least id.
 
-    Pairs at a similarity of 0.8 over five-word shingles differ in ten of 64 bits on those
-    shingles, but in four or five on the set of their words; so links are sought there, with
-    several fingerprints.
+    Near copies are linked by an exact similarity of 0.8 or more over five-word shingles;
+    fingerprints and min-hashes only propose.
     """
-    groups = near_duplicates(docs, shingle=1, max_bits=2, copies=COPIES)
-    gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    keyed = materialise(docs.withColumn("_row", F.monotonically_increasing_id()))
+    groups = near_copies(keyed.select(F.col("_row").alias("row"), F.col("text").cast("string").alias("text")))
+    ranked = groups.join(keyed.select(F.col("_row").alias("row"), F.col("doc_id").cast("long").alias("doc_id")), "row").select("row", "root", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row").alias("rank"))
+    least = ranked.groupBy("root").agg(F.min("rank").alias("least"), F.count("*").alias("n")).filter("n > 1").select("root", F.col("least.row").alias("kept"))
+    gone = ranked.join(least, "root").filter("row <> kept").select(F.col("row").alias("_row"))
+    return keyed.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,22 +68,18 @@ def set_fingerprints(words: list[bytes], shingle: int, copies: int) -> np.ndarra
     return np.packbits(2 * sums > len(h), axis=1, bitorder="little").view("<u8")[:, 0]
 
 
-def fingerprints(docs: DataFrame, shingle: int, copies: int = 0) -> DataFrame:
-    """(doc_id, fp, fps): fp is the fingerprint as a signed 64-bit integer; with copies, fps are that many of the set of shingles and fp the first of them."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("fps", pa.list_(pa.int64()))])
+def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, fp): fp is the fingerprint as a signed 64-bit integer."""
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text")
-            out = np.zeros((len(texts), max(1, copies)), np.uint64)
-            for k in range(len(texts)):
-                # lower() and split() of bytes know ASCII only, as wanted
-                words = (texts[k].as_py() or "").encode("utf-8", "replace").lower().split()
-                out[k] = set_fingerprints(words, shingle, copies) if copies else fingerprint(words, shingle)
-            fps = out.view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps[:, 0]), pa.array(fps.tolist() if copies else [None] * len(fps), schema.field("fps").type)], schema=schema)
+            # lower() and split() of bytes know ASCII only, as wanted
+            out = np.array([fingerprint((t.as_py() or "").encode("utf-8", "replace").lower().split(), shingle) for t in texts], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out.view(np.int64))], schema=schema)
 
-    return map_batches(text_rows(docs), run, "doc_id long, fp long, fps array<long>")
+    return map_batches(text_rows(docs), run, "doc_id long, fp long")
 
 
 def _postings(fps: DataFrame, d: int) -> DataFrame:
@@ -175,22 +171,11 @@ def near_edges(fps: DataFrame, d: int) -> DataFrame:
     return map_batches(posted, run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, copies: int = 0) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the least doc_id reachable over links.
-
-    copies: use that many independent fingerprints of the set of shingles; a link of any of
-    them counts, which finds most edited copies (see README for measured shares).
-    """
-    rows = materialise(fingerprints(docs, shingle, copies))
+def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
+    """(doc_id, fp, component_id): component_id is the least doc_id reachable over links."""
+    rows = materialise(fingerprints(docs, shingle))
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    if copies:
-        each = rows.select(F.col("fp").alias("node"), F.posexplode("fps").alias("copy", "fp"))
-        first = each.groupBy("copy", "fp").agg(F.min("node").alias("node"), F.max("node").alias("most"))
-        shared = first.filter("node < most").select("copy", "fp", F.col("node").alias("v"))
-        same = each.join(shared, ["copy", "fp"]).filter("node <> v").select(F.col("node").alias("u"), "v")
-        edges = near_edges(first.select("copy", "fp", "node"), max_bits).union(same)
-    else:
-        edges = near_edges(nodes.select(F.lit(0).alias("copy"), "fp", F.col("fp").alias("node")), max_bits)
+    edges = near_edges(nodes.select(F.lit(0).alias("copy"), "fp", F.col("fp").alias("node")), max_bits)
     roots = connected_components(edges)
     known = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = known.groupBy("root").agg(F.min("least").alias("component_id"))
