@@ -1,13 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Documents stream past the n-grams of the test items.  The items are the stated query set: they
 are taken in blocks of at most about ``BLOCK_WORDS`` words, so what is broadcast has a fixed
 bound and more items mean more passes.  Each hit proposes a stretch of the document around the
-item's diagonal.  Document frequencies of the seeds are counted over the whole corpus; a seed is
-rare if it is in at most ``RARE`` documents or among the rarer half of its item's n-grams, so an
-item leaked into very many documents still has seeds.  Stretches with a rare seed are aligned
-word by word; the best local alignment scores 2 a match, -1 a mismatch or gap, over 2 a word
-of the item.  ``THRESHOLD`` decides.
+item's diagonal.  A stretch that shares too few words with the item for any alignment to reach the
+threshold goes at once (a bound, so nothing is lost); how often a seed occurs in the corpus never
+decides, as leaks themselves make the seeds of their items frequent.  Of the stretches that are
+left each different one is aligned once, word by word, and its result joined to all its copies; the
+best local alignment scores 2 a match, -1 a mismatch or gap, over 2 a word of the item.
+``THRESHOLD`` decides.
 
 Defined cases: null texts and null ids of items have no passages; items with fewer words than a
 seed are not searched; a document row with a null id is not reported; rows of documents with
@@ -18,6 +19,7 @@ ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, materialise, mix, text_rows
 
-SEED_WORDS, RARE, THRESHOLD = 4, 20, 0.5
+SEED_WORDS, THRESHOLD = 4, 0.5
 BLOCK_WORDS = 1_000_000
 WORD = re.compile(r"\w+")
 
@@ -114,14 +116,20 @@ def align(region: list[str], item: list[str]) -> tuple[float, int, int]:
     return score / (2 * len(item)), end - back, end
 
 
-HITS = "doc_id long, item_id long, item_grams int, grams array<long>, first long, region string"
+def shared_words(region: list[str], item: Counter[str]) -> int:
+    """How many words, each as often as in both, a stretch and an item share: no alignment has more matches."""
+    return (Counter(w for w in region if w in item) & item).total()
 
 
-def _hits(docs: DataFrame, shared) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("item_grams", pa.int32()), ("grams", pa.list_(pa.int64())), ("first", pa.int64()), ("region", pa.string())])
+HITS = "doc_id long, item_id long, first long, region string"
+
+
+def _hits(docs: DataFrame, shared, threshold: float) -> DataFrame:
+    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("first", pa.int64()), ("region", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds: Seeds = shared.value
+        bags: dict[int, Counter[str]] = {}
         for batch in batches:
             out: list[list] = [[] for _ in schema]
             texts = batch.column("text")
@@ -141,10 +149,14 @@ def _hits(docs: DataFrame, shared) -> DataFrame:
                     high = np.minimum(diagonal[order] + size + pad, len(words))
                     reach = np.maximum.accumulate(high)
                     cuts = [0, *(np.flatnonzero(low[1:] > reach[:-1]) + 1).tolist(), len(low)]
-                    grams = seeds.grams[row[mine]][order].view(np.int64)
+                    bag = bags.get(item)
+                    if bag is None:
+                        bag = bags[item] = Counter(seeds.items[item])
                     for s, e in zip(cuts, cuts[1:], strict=False):
                         a, b = int(low[s]), int(reach[e - 1])
-                        for column, value in zip(out, (doc_id, item, size - seeds.n + 1, np.unique(grams[s:e]).tolist(), a, " ".join(words[a:b])), strict=True):
+                        if shared_words(words[a:b], bag) / size < threshold:
+                            continue
+                        for column, value in zip(out, (doc_id, item, a, " ".join(words[a:b])), strict=True):
                             column.append(value)
                 if len(out[0]) >= 2000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
@@ -154,41 +166,28 @@ def _hits(docs: DataFrame, shared) -> DataFrame:
     return map_batches(text_rows(docs).filter("text is not null and doc_id is not null"), run, HITS)
 
 
-def _rare_seeds(hits: DataFrame, rare: int) -> DataFrame:
-    """(item_id, seeds): the rare n-grams of each item; an item's n-grams are as many as its words."""
-    pairs = hits.select("doc_id", "item_id", "item_grams", F.explode("grams").alias("gram")).groupBy("item_id", "item_grams", "gram").agg(F.count("*").alias("df"))
-    listed = pairs.groupBy("item_id", "item_grams").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("by_df"))
-    # n-grams without a hit come first in the order, with frequency 0
-    middle = F.ceil(F.col("item_grams") / 2).cast("int") - (F.col("item_grams") - F.size("by_df"))
-    limit = F.greatest(F.lit(rare).cast("long"), F.when(middle >= 1, F.col("by_df")[middle - 1]["df"]).otherwise(F.lit(0)))
-    return listed.withColumn("limit", limit).select("item_id", F.expr("transform(filter(by_df, x -> x.df <= `limit`), x -> x.gram)").alias("seeds"))
-
-
-OUT = "doc_id long, item_id long, score double, start long, end long"
+ALIGNED = "item_id long, region string, score double, start long, end long"
 
 
-def _aligned(candidates: DataFrame, shared, threshold: float) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("start", pa.int64()), ("end", pa.int64())])
+def _aligned(regions: DataFrame, shared, threshold: float) -> DataFrame:
+    """The alignments at the threshold or above of stretches (item_id, region)."""
+    schema = pa.schema([("item_id", pa.int64()), ("region", pa.string()), ("score", pa.float64()), ("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds: Seeds = shared.value
         for batch in batches:
             out: list[list] = [[] for _ in schema]
-            known: dict[tuple[int, str], tuple[float, int, int]] = {}  # copies of a stretch are aligned once a batch
-            for doc_id, item, first, region in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "item_id", "first", "region")), strict=True):
-                got = known.get((item, region))
-                if got is None:
-                    got = known[item, region] = align(region.split(" "), seeds.items[item])
-                score, start, end = got
+            for item, region in zip(*(batch.column(c).to_pylist() for c in ("item_id", "region")), strict=True):
+                score, start, end = align(region.split(" "), seeds.items[item])
                 if score >= threshold:
-                    for column, value in zip(out, (doc_id, item, score, first + start, first + end), strict=True):
+                    for column, value in zip(out, (item, region, score, start, end), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
-    return map_batches(candidates, run, OUT)
+    return map_batches(regions, run, ALIGNED)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, rare: int = RARE) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, score, start, end): leaked items of each document, the best alignment of each, in words."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropna().groupBy("item_id").agg(F.min("text").alias("text"))
@@ -198,9 +197,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     for b in range(blocks):
         block = [(r["item_id"], r["text"]) for r in items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()]  # about BLOCK_WORDS words
         shared = spark.sparkContext.broadcast(Seeds(block))
-        hits = materialise(_hits(docs, shared))
-        candidates = hits.join(_rare_seeds(hits, rare), "item_id").filter(F.arrays_overlap("grams", "seeds")).select("doc_id", "item_id", "first", "region")
-        got = _aligned(candidates, shared, threshold)
+        hits = materialise(_hits(docs, shared, threshold))
+        aligned = materialise(_aligned(hits.select("item_id", "region").distinct(), shared, threshold))
+        got = hits.join(aligned, ["item_id", "region"]).select("doc_id", "item_id", "score", (F.col("first") + F.col("start")).alias("start"), (F.col("first") + F.col("end")).alias("end"))
         found = got if found is None else found.union(got)
     best = F.max(F.struct(F.col("score"), (-F.col("start")).alias("start"), F.col("end"))).alias("x")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "x.score", (-F.col("x.start")).alias("start"), "x.end")
