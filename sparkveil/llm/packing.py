@@ -7,8 +7,9 @@ shard is packed on its multiset of lengths:
 1. best-fit decreasing gives the first incumbent; the waste bound is ceil(sum / capacity);
 2. while the incumbent is above the bound, bin completion searches: the largest piece left
    opens a sequence, the undominated fillings of the room around it are enumerated (a filling
-   is dominated if another one of the same number of pieces or fewer fills at least as much),
-   fullest first; a branch whose waste exceeds what the incumbent allows is pruned.
+   is dominated if its pieces go into those of another one), fullest first; a branch whose
+   waste exceeds what the incumbent allows is pruned.  The search goes on from each better
+   packing until the bound is met or its nodes, a multiple of the sequences, are visited.
 
 Sequences of different shards never mix, so at most one part-filled sequence a shard is lost.
 
@@ -19,8 +20,10 @@ and text are packed each on its own; an empty table gives no rows; other columns
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right, insort
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter
 from collections.abc import Iterator
+from math import gcd
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +36,8 @@ from .word_tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
-#: Pieces a shard holds on average, and nodes a search may visit: work limits, every piece is packed whatever they are.
-SHARD_PIECES, NODES = 25_000, 2_000
+#: Pieces a shard holds on average, and nodes a search may visit, in all and for each sequence: work limits, every piece is packed whatever they are.
+SHARD_PIECES, NODES, NODES_BIN = 25_000, 2_000, 16
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, keeps_spaces: bool = False, with_ids: bool = False) -> DataFrame:
@@ -79,87 +82,125 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _fillings(room: int, sizes: list[int], counts: dict[int, int], most: int, width: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of a room by sizes (descending), fullest first: none leaves room for a size that is left."""
-    found: dict[tuple[int, ...], int] = {}
-
-    def go(at: int, room: int, chosen: tuple[int, ...]) -> None:
-        if len(found) >= width:
+def _holds(g: tuple[int, ...], f: tuple[int, ...]) -> bool:
+    """Whether the pieces of f, descending, go into those of g by first fit: then g dominates f."""
+    rooms = list(g)
+    for n in f:
+        at = next((k for k, r in enumerate(rooms) if r >= n), None)
+        if at is None:
+            return False
+        rooms[at] -= n
+    return True
+
+
+def _fillings(big: int, order: list[int], counts: dict[int, int], capacity: int, budget: list[int]) -> Iterator[tuple[int, ...]]:
+    """Undominated sequences around the piece big, fullest first, of the sizes in order (ascending).
+
+    A few are enumerated first; whoever asks on gets wider enumerations, until all were given.
+    What a wider one costs is taken from the budget.
+    """
+    width, branch = 12, 4
+    given: set[tuple[int, ...]] = set()
+    while True:
+        found: dict[tuple[int, ...], int] = {}
+        steps, cut = 16 * width, False
+
+        def go(top: int, room: int, chosen: tuple[int, ...]) -> None:
+            nonlocal steps, cut
+            steps -= 1
+            if steps < 0 or len(found) >= width:
+                cut = True
+                return
+            top = bisect_right(order, room, 0, top)
+            if top and order[top - 1] == big and counts[big] == 1:
+                top -= 1
+            if not top:
+                # one that leaves room for a size that is left is dominated
+                if all(counts[n] - (n == big) <= chosen.count(n) for n in order[: bisect_right(order, room)]):
+                    found[chosen] = sum(chosen)
+                return
+            low = max(0, top - branch)
+            cut = cut or low > 0
+            for k in range(top - 1, low - 1, -1):
+                n = order[k]
+                for m in range(min(counts[n] - (n == big), room // n), 0, -1):
+                    if steps < 0 or len(found) >= width:
+                        cut = True
+                        return
+                    go(k, room - m * n, chosen + (n,) * m)
+
+        go(len(order), capacity - big, ())
+        out: list[tuple[int, ...]] = []
+        for f in sorted(found, key=lambda f: (-found[f], len(f))):
+            if not any(_holds(g, f) for g in out):
+                out.append(f)
+        for f in out:
+            if f not in given:
+                given.add(f)
+                yield (big, *f)
+        if not cut:
             return
-        at = next((k for k in range(at, len(sizes)) if sizes[k] <= room and counts[sizes[k]] > chosen.count(sizes[k])), len(sizes))
-        if at == len(sizes) or len(chosen) == most:
-            found[chosen] = sum(chosen)
+        width, branch = 4 * width, 4 * branch
+        budget[0] -= (width // 12) ** 2
+        if budget[0] <= 0:
             return
-        for k in range(at, min(len(sizes), at + 4)):
-            if sizes[k] <= room and counts[sizes[k]] > chosen.count(sizes[k]):
-                go(k, room - sizes[k], (*chosen, sizes[k]))
-
-    go(0, room, ())
-    out: list[tuple[int, ...]] = []
-    for f in sorted(found, key=lambda f: (-found[f], len(f))):
-        if not any(found[g] >= found[f] and len(g) <= len(f) and all(x >= y for x, y in zip(g, f, strict=False)) for g in out):
-            out.append(f)
-    return out
 
 
 def bin_completion(lengths: list[int], capacity: int, nodes: int = NODES) -> list[list[int]]:
-    """Bins of indices: the incumbent of best-fit decreasing, or what branch and bound finds below it."""
+    """Bins of indices: the incumbent of best-fit decreasing, or the best that branch and bound finds below it.
+
+    The search may visit nodes, or NODES_BIN for each bin where that is more: a node places one bin.
+    """
     bins = best_fit_decreasing(lengths, capacity)
+    unit = gcd(*lengths) or 1
+    capacity -= capacity % unit  # no bin holds more
     bound = -(-sum(lengths) // capacity)
     if len(bins) <= bound:
         return bins
-    counts: dict[int, int] = {}
-    for n in lengths:
-        counts[n] = counts.get(n, 0) + 1
-    best: list[list[int]] | None = None
-    allowed = (len(bins) - 1) * capacity - sum(lengths)  # waste of a packing that beats the incumbent
-    budget = [nodes]
+    counts = Counter(lengths)
+    order = sorted(counts)
+    fewest, best = len(bins), None
+    budget = [max(nodes, NODES_BIN * len(bins))]
     # Depth-first with an explicit stack: a long shard opens thousands of sequences.
-    stack: list[tuple[list[tuple[int, ...]], int, tuple[int, ...] | None]] = []
     chosen: list[tuple[int, ...]] = []
-    left, waste = len(lengths), 0
-
-    def options() -> list[tuple[int, ...]]:
-        big = max(k for k, v in counts.items() if v)
-        counts[big] -= 1
-        sizes = sorted((k for k, v in counts.items() if v and k <= capacity - big), reverse=True)
-        # A window of sizes that exactly complete the room comes first.
-        got = [(big, *f) for f in _fillings(capacity - big, sizes, counts, 64, 12)]
-        counts[big] += 1
-        return got[::-1]
-
-    stack.append((options(), 0, None))
-    while stack and budget[0] > 0:
-        todo, _, _ = stack[-1]
-        if not todo:
+    left, total = len(lengths), sum(lengths)
+    waste = 0
+
+    def take(f: tuple[int, ...]) -> None:
+        for n in f:
+            counts[n] -= 1
+            if not counts[n]:
+                del order[bisect_left(order, n)]
+
+    def give(f: tuple[int, ...]) -> None:
+        for n in f:
+            if not counts[n]:
+                insort(order, n)
+            counts[n] += 1
+
+    stack = [_fillings(order[-1], order, counts, capacity, budget)]
+    while stack and budget[0] > 0 and fewest > bound:
+        f = next(stack[-1], None)
+        if f is None:
             stack.pop()
             if chosen:
                 done = chosen.pop()
-                for n in done:
-                    counts[n] += 1
+                give(done)
                 left += len(done)
                 waste -= capacity - sum(done)
             continue
-        f = todo.pop()
         budget[0] -= 1
-        if waste + capacity - sum(f) > allowed + (capacity if left == len(f) else 0):
+        # a packing that beats the incumbent has this much waste at most
+        if waste + capacity - sum(f) > (fewest - 1) * capacity - total:
             continue
-        for n in f:
-            counts[n] -= 1
+        if left == len(f):
+            fewest, best = len(chosen) + 1, [*chosen, f]
+            continue
+        take(f)
         chosen.append(f)
         left -= len(f)
         waste += capacity - sum(f)
-        if not left:
-            if len(chosen) < len(bins):
-                best = [list(c) for c in chosen]
-                break
-            done = chosen.pop()
-            for n in done:
-                counts[n] += 1
-            left += len(done)
-            waste -= capacity - sum(done)
-            continue
-        stack.append((options(), 0, None))
+        stack.append(_fillings(order[-1], order, counts, capacity, budget))
     if best is None:
         return bins
     where: dict[int, list[int]] = {}
