@@ -28,13 +28,18 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return label_rows(docs, model).filter((F.col("_lang_pred") != "und") & (F.col("_lang_score") >= MIN_SHARE)).select(*docs.columns)
 
 
+def with_key(docs: DataFrame) -> DataFrame:
+    """Adds _row, a key of each row, and writes it with the rows: doc_id may be null or repeated."""
+    return materialise(docs.withColumn("_row", F.monotonically_increasing_id()))
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one of least id.
 
     Near copies are linked by an exact similarity of 0.8 or more over five-word shingles;
     fingerprints and min-hashes only propose.
     """
-    keyed = materialise(docs.withColumn("_row", F.monotonically_increasing_id()))
+    keyed = with_key(docs)
     groups = near_copies(keyed.select(F.col("_row").alias("row"), F.col("text").cast("string").alias("text")))
     ranked = groups.join(keyed.select(F.col("_row").alias("row"), F.col("doc_id").cast("long").alias("doc_id")), "row").select("row", "root", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row").alias("rank"))
     least = ranked.groupBy("root").agg(F.min("rank").alias("least"), F.count("*").alias("n")).filter("n > 1").select("root", F.col("least.row").alias("kept"))
@@ -44,8 +49,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
-    leaks = find_leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(leaks, docs["doc_id"] == leaks["_gone"], "left_anti")
+    keyed = with_key(docs)
+    leaks = find_leaks(keyed.select(F.col("_row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return keyed.join(leaks.select(F.col("doc_id").alias("_row")).distinct(), "_row", "left_anti").select(*docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
