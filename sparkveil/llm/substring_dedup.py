@@ -1,16 +1,19 @@
 """Removal of repeated word passages through compressed FM-indexes.
 
 Every word covered by a window of ``width`` words that also starts in a document with a smaller
-id goes.  ``anchors.py`` settles equal contexts by counting and gathers ambiguous ones by
-anchor into shards.  A shard has an FM-index: the Burrows-Wheeler transform of its contexts in
-a wavelet matrix of packed bits with rank directories.  Its contexts are streamed against it:
-backward search extends the match of every place word by word and gives matching statistics,
-up to the threshold; places that reach it have an interval of suffixes, and the least document
-of the interval says whether the window starts in an earlier document.
+id goes.  ``anchors.py`` gathers the contexts of each anchor that occurs again, each different one
+once with the least and the greatest id that hold it, into shards.  A shard has an FM-index: the
+Burrows-Wheeler transform of its contexts in a wavelet matrix of packed bits with rank directories,
+a bit for each row that begins a class of suffixes alike over ``width - 1`` words, and the numbers of
+the rows' documents.  Contexts are streamed against it from right to left: backward search extends the
+match by the word in front, and a match of ``width`` words is first shortened by its last one, to the
+class of its row, so the matching statistics up to the threshold take one step a word.  Every place
+with ``width`` words before the end has an interval of suffixes, and the least document of the
+interval says whether the window starts in an earlier document.
 
 Defined cases: null text has no words; rows with a null id neither lose words nor make others
 lose any; rows with the same id never make each other lose words; documents shorter than the
-window keep everything; other columns are ignored.
+window keep everything; a document may be as long as a row can be; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,12 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .anchors import SHARD_CONTEXTS, anchor_rows, fetch_contexts, keyed, shards, split_anchors
-from .common import Rolling, map_batches, materialise, merged
-from .suffix_dedup import SPAN_SCHEMA, SPANS, runs_of, suffix_order
+from .anchors import keyed, repeated_spans
+from .common import map_batches, merged
+from .suffix_dedup import suffix_order
 
 WIDTH, GRAM = 50, 8
-SHARD_WORDS = 1 << 17
+SHARD_BYTES = 1 << 20
 
 
 def words_of(text: str) -> list[bytes]:
@@ -44,29 +47,38 @@ def word_bytes(text: str) -> bytes:
     return word_symbols(text).tobytes()
 
 
+class Bits:
+    """Packed bits with the number of ones before each 64-bit word."""
+
+    def __init__(self, bit: np.ndarray) -> None:
+        padded = np.zeros((len(bit) // 64 + 1) * 64, bool)
+        padded[: len(bit)] = bit
+        self.words = np.packbits(padded, bitorder="little").view("<u8")
+        self.counts = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int32)[:-1]]).astype(np.int32)
+
+    def ones(self, at: np.ndarray) -> np.ndarray:
+        """How many ones stand before each place."""
+        w = at >> 6
+        return self.counts[w] + np.bitwise_count(self.words[w] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)))
+
+
 class WaveletMatrix:
-    """Rank of any symbol before any place, over packed bits with a directory of counts per 64-bit word."""
+    """Rank of any symbol before any place."""
 
     def __init__(self, symbols: np.ndarray, sigma: int) -> None:
         self.levels = max(1, int(sigma - 1).bit_length())
-        self.words, self.counts, self.zeros = [], [], []
-        n = len(symbols)
+        self.bits, self.zeros = [], []
         now = symbols
         for level in range(self.levels - 1, -1, -1):
             bit = (now >> level & 1).astype(bool)
-            padded = np.zeros((n // 64 + 1) * 64, bool)
-            padded[:n] = bit
-            word = np.packbits(padded, bitorder="little").view("<u8")
-            self.words.append(word)
-            self.counts.append(np.concatenate([[0], np.cumsum(np.bitwise_count(word), dtype=np.int64)[:-1]]))
-            self.zeros.append(n - int(bit.sum()))
+            self.bits.append(Bits(bit))
+            self.zeros.append(len(now) - int(bit.sum()))
             now = np.concatenate([now[~bit], now[bit]])
-        self.begin = self._path(np.arange(sigma), np.zeros(sigma, np.int64))
+        self.begin = self._path(np.arange(sigma), np.zeros(sigma, np.int64)).astype(np.int32)
 
     def _path(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
-        for k, (word, count, zeros) in enumerate(zip(self.words, self.counts, self.zeros, strict=True)):
-            w = at >> 6
-            ones = count[w] + np.bitwise_count(word[w] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)))
+        for k, (bits, zeros) in enumerate(zip(self.bits, self.zeros, strict=True)):
+            ones = bits.ones(at)
             at = np.where(symbols >> (self.levels - 1 - k) & 1, zeros + ones, at - ones)
         return at
 
@@ -75,115 +87,98 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Over strings of symbols; owner values of suffixes answer which document an interval starts in."""
+    """Over strings of symbols, for matches of up to ``width``; owners say of each string which document it is from."""
 
-    def __init__(self, strings: list[np.ndarray], owners: np.ndarray) -> None:
-        m = len(strings)
+    def __init__(self, strings: list[np.ndarray], owners: np.ndarray, heavy: np.ndarray, width: int) -> None:
+        m, self.width = len(strings), width
         self.names, flat = np.unique(np.concatenate(strings), return_inverse=True)
         sizes = np.array([len(s) for s in strings])
-        self.ends = np.cumsum(sizes + 1) - 1
+        ends = np.cumsum(sizes + 1) - 1
         text = np.zeros(int(sizes.sum()) + m, np.int64)
         is_end = np.zeros(len(text), bool)
-        is_end[self.ends] = True
-        text[self.ends] = np.arange(m)
+        is_end[ends] = True
+        text[ends] = np.arange(m)
         text[~is_end] = flat + m
-        order, _ = suffix_order(text, int(sizes.max()) + 1)
-        self.text = np.where(is_end, 0, text - m + 1)
-        bwt = self.text[order - 1]
+        keep = 1 << (width - 1).bit_length() - 1
+        order, _, classes = suffix_order(text, int(sizes.max()) + 1, keep)
+        text = np.where(is_end, 0, text - m + 1)
         sigma = len(self.names) + 1
-        self.before = np.concatenate([[0], np.cumsum(np.bincount(self.text, minlength=sigma))])
-        self.tree = WaveletMatrix(bwt, sigma)
-        self.owner_of_row = np.repeat(owners, sizes + 1)[order]
-
-    def matching_statistics(self, starts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For windows of ``most`` symbols of the indexed text itself: (matched, low, high).
-
-        matched is the length of the window's longest ending that occurs more than once, up to
-        ``most``; low and high are the interval of suffixes that begin with the whole window.
-        """
-        matched = np.zeros(len(starts), np.int64)
-        low = np.zeros(len(starts), np.int64)
-        high = np.full(len(starts), len(self.text))
-        live = np.arange(len(starts))
-        for k in range(most - 1, -1, -1):
-            c = self.text[starts[live] + k]
-            both = self.tree.rank(np.concatenate([c, c]), np.concatenate([low[live], high[live]])) + np.tile(self.before[c], 2)
-            low[live], high[live] = both[: len(c)], both[len(c) :]
-            live = live[high[live] - low[live] > 1]
-            matched[live] += 1
-            if not len(live):
-                break
-        return matched, low, high
+        self.rows = len(text)
+        self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))])
+        self.tree = WaveletMatrix(text[order - 1], sigma)
+        # Suffixes share width - 1 symbols if they share the first and the last ``keep`` of them.
+        other = classes[np.minimum(order + (width - 1 - keep), len(order) - 1)]
+        mine = classes[order]
+        begins = np.concatenate([[True], (mine[1:] != mine[:-1]) | (other[1:] != other[:-1])])
+        self.begins, self.starts = Bits(begins), np.append(np.flatnonzero(begins), len(order)).astype(np.int32)
+        self.documents, numbers = np.unique(owners, return_inverse=True)
+        self.owner = np.repeat(numbers.astype(np.int32), sizes + 1)[order]
+        self.heavy = Bits((np.repeat(heavy, sizes + 1) & ~is_end)[order])
+
+    def codes(self, symbols: np.ndarray) -> np.ndarray:
+        """Numbers of the symbols of a stream; a symbol that no string has counts as an end."""
+        at = np.minimum(np.searchsorted(self.names, symbols), len(self.names) - 1)
+        return np.where(self.names[at] == symbols, at + 1, 0)
+
+    def extend(self, code: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The intervals with a symbol in front."""
+        both = self.tree.rank(np.concatenate([code, code]), np.concatenate([low, high])) + np.tile(self.before[code], 2)
+        return both[: len(code)], both[len(code) :]
+
+    def shorten(self, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The intervals of the first width - 1 symbols of what the rows begin with."""
+        k = self.begins.ones(low + 1)
+        return self.starts[k - 1].astype(np.int64), self.starts[k].astype(np.int64)
+
+    def matches(self, strings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(string, place, low, high): the interval of each window of strings that the index holds, from right to left."""
+        width = self.width
+        sizes = np.array([len(s) for s in strings])
+        begin = np.cumsum(sizes) - sizes
+        code = self.codes(np.concatenate(strings))
+        live = np.flatnonzero(sizes >= width)
+        live = live[np.argsort(-sizes[live], kind="stable")]
+        place = sizes[live] - width
+        low, high = np.zeros(len(live), np.int64), np.full(len(live), self.rows)
+        for k in range(width - 1, -1, -1):
+            low, high = self.extend(code[begin[live] + place + k], low, high)
+        found = []
+        while len(live):
+            found.append((live, place, low, high))
+            more = int(np.searchsorted(-place, 0))  # places descend: those above zero have a word in front
+            live, place = live[:more], place[:more] - 1
+            low, high = self.extend(code[begin[live] + place], *self.shorten(low[:more]))
+        if not found:
+            return (np.zeros(0, np.int64),) * 4
+        return tuple(np.concatenate([f[k] for f in found]) for k in range(4))
 
     def least_owner(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        pairs, back = np.unique(np.stack([low, high], 1), axis=0, return_inverse=True)
-        size = pairs[:, 1] - pairs[:, 0]
-        begin = np.concatenate([[0], np.cumsum(size)[:-1]])
-        rows = np.repeat(pairs[:, 0] - begin, size) + np.arange(size.sum())
-        return np.minimum.reduceat(self.owner_of_row[rows], begin)[back.ravel()]
-
-
-def earlier_windows(contexts: list[np.ndarray], owners: np.ndarray, width: int = WIDTH) -> list[np.ndarray]:
-    """For each context the places of its windows that start in a context of a smaller owner too."""
-    index = FMIndex(contexts, owners)
-    firsts = np.concatenate([[0], index.ends[:-1] + 1])
-    counts = np.array([max(0, len(c) - width + 1) for c in contexts])
-    which = np.repeat(np.arange(len(contexts)), counts)
-    place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    matched, low, high = index.matching_statistics(firsts[which] + place, width)
-    hit = np.flatnonzero(matched == width)
-    if len(hit):
-        hit = hit[index.least_owner(low[hit], high[hit]) < owners[which[hit]]]
-    cuts = np.searchsorted(which[hit], np.arange(len(contexts) + 1))
-    return [place[hit[s:e]] for s, e in zip(cuts, cuts[1:], strict=False)]
-
-
-def _shard_spans(contexts: DataFrame) -> DataFrame:
-    parts = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = contexts.repartition(parts, "akey").sortWithinPartitions("akey")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in shards(batches, "akey", lambda b: np.array([len(x) // 8 for x in b.column("data").to_pylist()]), SHARD_WORDS):
-            rids, starts, owners = shard.column("rid").to_pylist(), shard.column("start").to_pylist(), shard.column("value").to_numpy()
-            contexts = [np.frombuffer(x, np.uint64) for x in shard.column("data").to_pylist()]
-            out: list[list] = [[], [], []]
-            for rid, start, at in zip(rids, starts, earlier_windows(contexts, owners), strict=True):
-                if len(at):
-                    for s, e in zip(*runs_of(at), strict=True):
-                        out[0].append(rid)
-                        out[1].append(start + int(s))
-                        out[2].append(start + int(e) + WIDTH)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, SPAN_SCHEMA, strict=True)], schema=SPAN_SCHEMA)
-
-    return map_batches(ordered, run, SPANS)
-
-
-def _hot_spans(contexts: DataFrame) -> DataFrame:
-    """Windows of anchors in very many different contexts, settled by a grouped minimum over window hashes."""
-    schema = pa.schema([("rid", pa.int64()), ("akey", pa.int64()), ("value", pa.int64()), ("start", pa.int32()), ("hashes", pa.list_(pa.int64()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes = [Rolling(np.frombuffer(x, np.uint64)).windows(WIDTH).view(np.int64) for x in batch.column("data").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rid", "akey", "value", "start")), pa.array(hashes, pa.list_(pa.int64()))], schema=schema)
-
-    windows = map_batches(contexts.drop("contexts"), run, "rid long, akey long, value long, start int, hashes array<long>").select("rid", "akey", "value", "start", F.posexplode("hashes").alias("at", "hash"))
-    least = windows.groupBy("akey", "hash").agg(F.min("value").alias("least"), F.max("value").alias("most")).filter("least < most").select("akey", "hash", "least")
-    return windows.join(least, ["akey", "hash"]).filter("least < value").select("rid", (F.col("start") + F.col("at")).alias("start"), (F.col("start") + F.col("at") + WIDTH).alias("end"))
-
-
-def repeated_spans(keyed_docs: DataFrame) -> DataFrame:
-    """(rid, start, end): word spans whose union also starts in documents with smaller ids."""
-    rows = materialise(anchor_rows(keyed_docs.filter("doc_id is not null"), word_symbols, WIDTH, GRAM))
-    plain, mixed = split_anchors(rows, within=False)
-    mixed = materialise(mixed)
-    columns = ("rid", "start", "windows")
-    whole = plain.filter("least < doc_id").select(*columns).union(mixed.filter("least < doc_id").select(*columns))
-    settled = whole.select("rid", F.explode("start").alias("start"), "windows").select("rid", "start", (F.col("start") + F.col("windows") + (WIDTH - 1)).alias("end"))
-    first = mixed.filter("doc_id = least").select("rid", "akey", "contexts", F.col("doc_id").alias("value"), F.explode("start").alias("first"), "windows")
-    contexts = materialise(fetch_contexts(keyed_docs, first, word_bytes, 8, WIDTH))
-    few, many = contexts.filter(F.col("contexts") <= SHARD_CONTEXTS), contexts.filter(F.col("contexts") > SHARD_CONTEXTS)
-    return settled.union(_shard_spans(few)).union(_hot_spans(many))
+        """The least document of each interval; intervals of whole windows, so the first row tells them apart."""
+        firsts, at, back = np.unique(low, return_index=True, return_inverse=True)
+        size = high[at] - firsts
+        begin = np.cumsum(size) - size
+        rows = np.repeat(firsts - begin, size) + np.arange(size.sum())
+        return self.documents[np.minimum.reduceat(self.owner[rows], begin)[back]]
+
+
+def decide(contexts: list[bytes], n: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs (context, first window, last window, least document) of windows that some document after the least one has too."""
+    strings = [np.frombuffer(x, np.uint64) for x in contexts]
+    index = FMIndex(strings, least, least < most, WIDTH)
+    which, place, low, high = index.matches(strings)
+    again = np.flatnonzero((high - low > 1) | (index.heavy.ones(low + 1) > index.heavy.ones(low)))
+    which, place, low, high = which[again], place[again], low[again], high[again]
+    if not len(which):
+        return which, place, place, place
+    owner = index.least_owner(low, high)
+    hit = np.flatnonzero(owner < most[which])
+    hit = hit[np.lexsort((place[hit], which[hit]))]
+    which, place, owner = which[hit], place[hit], owner[hit]
+    if not len(which):
+        return which, place, place, owner
+    cut = np.flatnonzero((np.diff(which) > 0) | (np.diff(place) > 1) | (np.diff(owner) != 0))
+    first, last = np.concatenate([[0], cut + 1]), np.concatenate([cut, [len(which) - 1]])
+    return which[first], place[first], place[last], owner[first]
 
 
 def remove_passages(docs: DataFrame) -> DataFrame:
@@ -191,8 +186,9 @@ def remove_passages(docs: DataFrame) -> DataFrame:
     span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(span)), ("kept", pa.binary())])
     rows = keyed(docs)
-    found = repeated_spans(rows).groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("found"))
-    joined = rows.join(found, "rid", "left").select("doc_id", "text", "found")
+    spans = repeated_spans(rows.filter("doc_id is not null"), word_symbols, word_bytes, 8, WIDTH, GRAM, False, decide, SHARD_BYTES).filter("least < did")
+    found = spans.groupBy("rid", "did").agg(F.collect_list(F.struct("start", "end")).alias("found"))
+    joined = rows.join(found, ["rid", "did"], "left").select("doc_id", "text", "found")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,16 +1,19 @@
 """Removal of repeated byte strings by interval expansion on Burrows-Wheeler transforms.
 
 Every byte covered by a ``width``-byte string that starts anywhere else goes.  ``anchors.py``
-settles equal contexts by counting and gathers the ambiguous ones by anchor into shards of
-about a megabyte.  A shard's contexts are read as strings of ``PACK``-byte symbols, one string
-for each of the phases, so each byte starts exactly one symbol and ``width`` is a whole number
-of symbols.  On the transform of the shard, intervals of suffixes that begin alike are expanded
-breadth first by one symbol in front (backward extension), by increasing length of the common
-prefix; intervals of a single suffix are dropped, and the expansion stops at the threshold.
-The suffixes in the intervals that are left are the repeated windows.
+gathers the contexts of each anchor that occurs again, each different one once with its number
+of occurrences, into shards of about a megabyte.  A shard's contexts are read as strings of
+``PACK``-byte symbols, one string for each of the phases, so each byte starts exactly one symbol
+and ``width`` is a whole number of symbols.  On the transform of the shard, intervals of suffixes
+that begin alike are expanded breadth first by one symbol in front (backward extension), by
+increasing length of the common prefix; intervals that stand for a single occurrence are dropped,
+and the expansion stops at the threshold.  The suffixes in the intervals that are left are the
+repeated windows.
 
 Defined cases: null text is empty; documents shorter than ``width`` keep everything; rows with
-the same id and text are two documents (each repeats the other); other columns are ignored.
+the same id and text are two documents (each repeats the other), whether the id is null or not;
+a document may be as long as a row can be, its windows are looked at by the million; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -22,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import SHARD_CONTEXTS, anchor_rows, fetch_contexts, keyed, shards, split_anchors
-from .common import Rolling, map_batches, materialise, merged
+from .anchors import keyed, repeated_spans
+from .common import map_batches, merged
 
 WIDTH, GRAM, PACK = 400, 64, 8
 SHARD_BYTES = 1 << 20
@@ -39,8 +42,12 @@ def byte_symbols(text: str) -> np.ndarray:
     return BYTE[np.frombuffer(utf8(text), np.uint8)]
 
 
-def suffix_order(symbols: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix array, its inverse) by prefix doubling of the suffixes that are still alike; no common prefix is longer than ``most``."""
+def suffix_order(symbols: np.ndarray, most: int, keep: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(suffix array, its inverse, classes) by prefix doubling of the suffixes that are still alike.
+
+    No common prefix is longer than ``most``.  classes has equal numbers for suffixes that share
+    their first ``keep`` symbols, a power of two.
+    """
     n = len(symbols)
     order = np.argsort(symbols)
     s = symbols[order]
@@ -48,8 +55,10 @@ def suffix_order(symbols: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray
     rank = np.empty(n, np.int64)
     rank[order] = np.flatnonzero(begin)[np.cumsum(begin) - 1]  # the first row of a suffix's group
     slots = np.flatnonzero(~(begin & np.concatenate([begin[1:], [True]])))
-    k = 1
+    k, classes = 1, None
     while k <= most and len(slots):
+        if k == keep:
+            classes = rank.copy()
         a = order[slots]
         after = a + k
         second = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
@@ -63,24 +72,26 @@ def suffix_order(symbols: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray
         k *= 2
     inverse = np.empty(n, np.int64)
     inverse[order] = np.arange(n)
-    return order, inverse
+    return order, inverse, rank if classes is None else classes
 
 
-def expand(symbols: np.ndarray, length: int, most: int) -> np.ndarray:
-    """Places where a string of ``length`` symbols starts that starts elsewhere too.
+def expand(symbols: np.ndarray, length: int, most: int, heavy: np.ndarray) -> np.ndarray:
+    """Places where a string of ``length`` symbols starts that occurs again.
 
     symbols: strings, each ended by a symbol of its own, so no common prefix crosses one.
+    heavy: whether a place stands for more than one occurrence.
     """
-    order, inverse = suffix_order(symbols, most)
+    order, inverse, _ = suffix_order(symbols, most)
     n = len(symbols)
     bwt = symbols[order - 1]
-    step = inverse[order - 1]  # the row of the suffix that starts one symbol before
+    step = inverse[order - 1].astype(np.int32)  # the row of the suffix that starts one symbol before
     # Rows at which the transform changes: an interval without one is extended as a whole.
-    runs = np.concatenate([[0], np.cumsum(bwt[1:] != bwt[:-1])])
+    runs = np.concatenate([[0], np.cumsum(bwt[1:] != bwt[:-1])]).astype(np.int32)
     first = symbols[order]
-    edges = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1], [True]]))
+    heavy = heavy[order]
+    edges = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1], [True]])).astype(np.int32)
     low, high = edges[:-1], edges[1:]  # level 1
-    keep = high - low > 1
+    keep = (high - low > 1) | heavy[low]
     low, high = low[keep], high[keep]
     for _ in range(length - 1):
         if not len(low):
@@ -98,19 +109,20 @@ def expand(symbols: np.ndarray, length: int, most: int) -> np.ndarray:
             sym = first[to]
             cut = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (sym[1:] != sym[:-1])]))
             a = np.concatenate([a, to[cut]])
-            size = np.concatenate([size, np.diff(np.concatenate([cut, [len(to)]]))])
-        keep = size > 1
-        low, high = a[keep], a[keep] + size[keep]
+            size = np.concatenate([size, np.diff(np.concatenate([cut, [len(to)]])).astype(np.int32)])
+        keep = (size > 1) | heavy[a]
+        low = a[keep]
+        high = low + size[keep]
     if not len(low):
         return np.zeros(0, np.int64)
-    size = high - low
+    size = (high - low).astype(np.int64)
     rows = np.repeat(low - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
     return order[rows]
 
 
-def repeated_windows(contexts: list[bytes], width: int = WIDTH, pack: int = PACK) -> list[np.ndarray]:
-    """For each context the places of its windows that start elsewhere in the contexts too."""
-    parts, owner, place = [], [], []
+def repeated_windows(contexts: list[bytes], n: np.ndarray, width: int = WIDTH, pack: int = PACK) -> tuple[np.ndarray, np.ndarray]:
+    """(context, place) of the windows that occur again in the contexts, of which each stands for n occurrences; by context, then place."""
+    parts, owner, place, heavy = [], [], [], []
     separator = (1 << 64) - 1
     for c, data in enumerate(contexts):
         for phase in range(min(pack, len(data) - width + 1)):
@@ -118,74 +130,25 @@ def repeated_windows(contexts: list[bytes], width: int = WIDTH, pack: int = PACK
             parts += [np.frombuffer(data, "<u8", m, phase), np.array([separator], np.uint64)]
             owner.append(np.full(m + 1, c))
             place.append(np.arange(m + 1) * pack + phase)
+            marks = np.full(m + 1, n[c] > 1)
+            marks[m] = False
+            heavy.append(marks)
             separator -= 1
     if not parts:
-        return [np.zeros(0, np.int64) for _ in contexts]
-    symbols = np.concatenate(parts)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     # Text never has the bytes FF at a symbol's end (it is UTF-8), so separators differ from all of it.
-    at = expand(symbols, width // pack, max(map(len, contexts)) // pack + 1)
+    at = expand(np.concatenate(parts), width // pack, max(map(len, contexts)) // pack + 1, np.concatenate(heavy))
     owner, place = np.concatenate(owner)[at], np.concatenate(place)[at]
     by = np.lexsort((place, owner))
-    owner, place = owner[by], place[by]
-    cuts = np.searchsorted(owner, np.arange(len(contexts) + 1))
-    return [place[s:e] for s, e in zip(cuts, cuts[1:], strict=False)]
-
-
-SPANS = "rid long, start int, end int"
-SPAN_SCHEMA = pa.schema([("rid", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
-
-
-def runs_of(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last of each run of consecutive places."""
-    cut = np.flatnonzero(np.diff(places) > 1)
-    return places[np.concatenate([[0], cut + 1])], places[np.concatenate([cut, [len(places) - 1]])]
-
-
-def _shard_spans(contexts: DataFrame) -> DataFrame:
-    parts = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = contexts.repartition(parts, "akey").sortWithinPartitions("akey")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in shards(batches, "akey", lambda b: np.array([len(x) for x in b.column("data").to_pylist()]), SHARD_BYTES):
-            rids, starts, counts = (shard.column(c).to_pylist() for c in ("rid", "start", "value"))
-            out: list[list] = [[], [], []]
-            for rid, start, n, at in zip(rids, starts, counts, repeated_windows(shard.column("data").to_pylist()), strict=True):
-                if n == 1 and len(at):
-                    for s, e in zip(*runs_of(at), strict=True):
-                        out[0].append(rid)
-                        out[1].append(start + int(s))
-                        out[2].append(start + int(e) + WIDTH)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, SPAN_SCHEMA, strict=True)], schema=SPAN_SCHEMA)
-
-    return map_batches(ordered, run, SPANS)
-
+    return owner[by], place[by]
 
-def _hot_spans(contexts: DataFrame) -> DataFrame:
-    """Windows of anchors in very many different contexts, settled by a grouped count over window hashes."""
-    schema = pa.schema([("rid", pa.int64()), ("akey", pa.int64()), ("value", pa.int64()), ("start", pa.int32()), ("hashes", pa.list_(pa.int64()))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes = [Rolling(BYTE[np.frombuffer(x, np.uint8)]).windows(WIDTH).view(np.int64) for x in batch.column("data").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rid", "akey", "value", "start")), pa.array(hashes, pa.list_(pa.int64()))], schema=schema)
-
-    windows = map_batches(contexts.drop("contexts"), run, "rid long, akey long, value long, start int, hashes array<long>").select("rid", "akey", "value", "start", F.posexplode("hashes").alias("at", "hash"))
-    again = windows.groupBy("akey", "hash").agg(F.sum("value").alias("all")).filter("all > 1").select("akey", "hash")
-    return windows.filter("value = 1").join(again, ["akey", "hash"], "left_semi").select("rid", (F.col("start") + F.col("at")).alias("start"), (F.col("start") + F.col("at") + WIDTH).alias("end"))
-
-
-def repeated_spans(keyed_docs: DataFrame) -> DataFrame:
-    """(rid, start, end): byte spans whose union is what repeats."""
-    rows = materialise(anchor_rows(keyed_docs, byte_symbols, WIDTH, GRAM))
-    plain, mixed = split_anchors(rows, within=True)
-    mixed = materialise(mixed)
-    whole = plain.select("rid", "start", "windows").union(mixed.filter("n > 1").select("rid", "start", "windows"))
-    settled = whole.select("rid", F.explode("start").alias("start"), "windows").select("rid", "start", (F.col("start") + F.col("windows") + (WIDTH - 1)).alias("end"))
-    # One example of each different context stands for all of them.
-    first = mixed.groupBy("akey", "chash").agg(F.min(F.struct("rid", F.element_at("start", 1).alias("first"), "windows", F.col("n").alias("value"), "contexts")).alias("x")).select("akey", "x.*")
-    contexts = materialise(fetch_contexts(keyed_docs, first, utf8, 1, WIDTH))
-    few, many = contexts.filter(F.col("contexts") <= SHARD_CONTEXTS), contexts.filter(F.col("contexts") > SHARD_CONTEXTS)
-    return settled.union(_shard_spans(few)).union(_hot_spans(many))
+def decide(contexts: list[bytes], n: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs (context, first window, last window, 0) of the windows that occur again."""
+    owner, place = repeated_windows(contexts, n, WIDTH, PACK)
+    cut = np.flatnonzero((np.diff(owner) > 0) | (np.diff(place) > 1))
+    first, last = (np.concatenate([[0], cut + 1]), np.concatenate([cut, [len(owner) - 1]])) if len(owner) else (owner, owner)
+    return owner[first], place[first], place[last], np.zeros(len(first), np.int64)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -193,8 +156,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(span)), ("kept", pa.binary())])
     rows = keyed(docs)
-    found = repeated_spans(rows).groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("found"))
-    joined = rows.join(found, "rid", "left").select("doc_id", "text", "found")
+    found = repeated_spans(rows, byte_symbols, utf8, 1, WIDTH, GRAM, True, decide, SHARD_BYTES).groupBy("rid", "did").agg(F.collect_list(F.struct("start", "end")).alias("found"))
+    joined = rows.join(found, ["rid", "did"], "left").select("doc_id", "text", "found")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,4 +178,3 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, 500), *(pa.array(c, schema.field(i + 1).type) for i, c in enumerate(out))], schema=schema)
 
     return map_batches(joined, run, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept binary")
-

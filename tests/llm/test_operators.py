@@ -11,6 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from sparkveil.llm import anchors as AN
 from sparkveil.llm import chat_format as C
 from sparkveil.llm import decontaminate as DC
 from sparkveil.llm import language_id as LI
@@ -270,7 +271,7 @@ def removed_bytes(texts, w=400):
 
 @pytest.mark.parametrize("hot", [1000, 2])
 def test_suffix_dedup(spark, monkeypatch, hot):
-    monkeypatch.setattr(SX, "SHARD_CONTEXTS", hot)
+    monkeypatch.setattr(AN, "SHARD_CONTEXTS", hot)
     rng = random.Random(12)
     make = lambda n: "".join(rng.choice("ab cdefé ijk\n") for _ in range(n))
     shared = [make(700), make(410), make(390), make(500)]
@@ -300,7 +301,7 @@ def removed_words(ids, texts, w=50):
 
 @pytest.mark.parametrize("hot", [1000, 2])
 def test_substring_dedup(spark, monkeypatch, hot):
-    monkeypatch.setattr(SB, "SHARD_CONTEXTS", hot)
+    monkeypatch.setattr(AN, "SHARD_CONTEXTS", hot)
     rng = random.Random(13)
     shared = [words(rng, n) for n in (70, 51, 49, 50, 200)]
     texts = [None, "", "a " * 300, *(words(rng, rng.randint(0, 60)) + " " + rng.choice(shared) + " " + words(rng, rng.randint(0, 30)) + " " + rng.choice(shared) for _ in range(30))]
