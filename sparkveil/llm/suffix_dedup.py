@@ -2,7 +2,7 @@
 
 Every byte covered by a ``width``-byte string that starts anywhere else goes.  ``anchors.py``
 gathers the contexts of each anchor that occurs again, each different one once with its number
-of occurrences, into shards of about a megabyte.  A shard's contexts are read as strings of
+of occurrences, into shards of half a megabyte or so.  A shard's contexts are read as strings of
 ``PACK``-byte symbols, one string for each of the phases, so each byte starts exactly one symbol
 and ``width`` is a whole number of symbols.  On the transform of the shard, intervals of suffixes
 that begin alike are expanded breadth first by one symbol in front (backward extension), by
@@ -29,7 +29,7 @@ from .anchors import keyed, repeated_spans
 from .common import map_batches, merged
 
 WIDTH, GRAM, PACK = 400, 64, 8
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 19
 _RNG = np.random.default_rng(42)
 BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -85,61 +85,67 @@ def expand(symbols: np.ndarray, length: int, most: int, heavy: np.ndarray) -> np
     n = len(symbols)
     bwt = symbols[order - 1]
     step = inverse[order - 1].astype(np.int32)  # the row of the suffix that starts one symbol before
-    # Rows at which the transform changes: an interval without one is extended as a whole.
-    runs = np.concatenate([[0], np.cumsum(bwt[1:] != bwt[:-1])]).astype(np.int32)
+    # The end of the run of equal symbols of the transform: an interval within one is extended as a whole.
+    edge = np.append(np.flatnonzero(bwt[1:] != bwt[:-1]) + 1, n)
+    run_end = np.repeat(edge, np.diff(edge, prepend=0)).astype(np.int32)
     first = symbols[order]
     heavy = heavy[order]
+    lone = np.where(heavy[step], step, -1).astype(np.int32)  # where a single suffix goes on, if that stands for several occurrences
     edges = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1], [True]])).astype(np.int32)
-    low, high = edges[:-1], edges[1:]  # level 1
-    keep = (high - low > 1) | heavy[low]
-    low, high = low[keep], high[keep]
+    low, size = edges[:-1], np.diff(edges)  # level 1
+    single = low[(size == 1) & heavy[low]]
+    low, size = low[size > 1], size[size > 1]
     for _ in range(length - 1):
-        if not len(low):
+        if not len(low) and not len(single):
             break
-        even = runs[low] == runs[high - 1]
-        a, size = step[low[even]], (high - low)[even]
+        single = lone[single]
+        single = single[single >= 0]
+        even = run_end[low] >= low + size
+        a, ul, us, size = step[low[even]], low[~even], size[~even], size[even]
         # Rows of an uneven interval are extended one by one and regrouped by the symbol in front.
-        ul, us = low[~even], (high - low)[~even]
         if len(ul):
-            rows = np.repeat(ul - np.concatenate([[0], np.cumsum(us)[:-1]]), us) + np.arange(us.sum())
+            rows = np.repeat(ul - np.cumsum(us) + us, us) + np.arange(us.sum())
             owner = np.repeat(np.arange(len(ul)), us)
             to = step[rows]
             by = np.argsort(owner * n + to)
             to, owner = to[by], owner[by]
             sym = first[to]
             cut = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (sym[1:] != sym[:-1])]))
-            a = np.concatenate([a, to[cut]])
-            size = np.concatenate([size, np.diff(np.concatenate([cut, [len(to)]])).astype(np.int32)])
-        keep = (size > 1) | heavy[a]
-        low = a[keep]
-        high = low + size[keep]
-    if not len(low):
-        return np.zeros(0, np.int64)
-    size = (high - low).astype(np.int64)
-    rows = np.repeat(low - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-    return order[rows]
+            count = np.diff(cut, append=len(to)).astype(np.int32)
+            alone = to[cut[count == 1]]
+            single = np.concatenate([single, alone[heavy[alone]]])
+            a, size = np.concatenate([a, to[cut[count > 1]]]), np.concatenate([size, count[count > 1]])
+        low = a
+    rows = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
+    return order[np.concatenate([single, rows])]
 
 
 def repeated_windows(contexts: list[bytes], n: np.ndarray, width: int = WIDTH, pack: int = PACK) -> tuple[np.ndarray, np.ndarray]:
     """(context, place) of the windows that occur again in the contexts, of which each stands for n occurrences; by context, then place."""
-    parts, owner, place, heavy = [], [], [], []
-    separator = (1 << 64) - 1
-    for c, data in enumerate(contexts):
-        for phase in range(min(pack, len(data) - width + 1)):
-            m = (len(data) - phase) // pack
-            parts += [np.frombuffer(data, "<u8", m, phase), np.array([separator], np.uint64)]
-            owner.append(np.full(m + 1, c))
-            place.append(np.arange(m + 1) * pack + phase)
-            marks = np.full(m + 1, n[c] > 1)
-            marks[m] = False
-            heavy.append(marks)
-            separator -= 1
-    if not parts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    # Text never has the bytes FF at a symbol's end (it is UTF-8), so separators differ from all of it.
-    at = expand(np.concatenate(parts), width // pack, max(map(len, contexts)) // pack + 1, np.concatenate(heavy))
-    owner, place = np.concatenate(owner)[at], np.concatenate(place)[at]
-    by = np.lexsort((place, owner))
+    sizes = np.array([len(c) for c in contexts], np.int64)
+    flat = np.frombuffer(b"".join([*contexts, bytes(pack)]), np.uint8)
+    symbol = np.zeros(len(flat) - pack + 1, np.uint64)
+    for k in range(pack):
+        symbol |= flat[k : k + len(symbol)].astype(np.uint64) << np.uint64(8 * k)
+    # A string for each context and phase in which a window starts.
+    context, phase = np.divmod(np.arange(len(contexts) * pack), pack)
+    some = phase <= sizes[context] - width
+    context, phase = context[some], phase[some]
+    if not len(context):
+        return context, phase
+    count = (sizes[context] - phase) // pack + 1  # with its end
+    ends = np.cumsum(count) - 1
+    string = np.repeat(np.arange(len(context)), count)
+    owner = context[string]
+    place = (np.arange(ends[-1] + 1) - np.repeat(ends + 1 - count, count)) * pack + phase[string]
+    symbols = symbol[np.minimum((np.cumsum(sizes) - sizes)[owner] + place, len(symbol) - 1)]
+    # Text never has the bytes FF at a symbol's end (it is UTF-8), so the strings' ends differ from all of it.
+    symbols[ends] = ~np.arange(len(context), dtype=np.uint64)
+    heavy = (n > 1)[owner]
+    heavy[ends] = False
+    at = expand(symbols, width // pack, int(sizes.max()) // pack + 1, heavy)
+    owner, place = owner[at], place[at]
+    by = np.argsort(owner * (int(sizes.max()) + 1) + place)
     return owner[by], place[by]
 
 
