@@ -31,6 +31,63 @@ def alternation(words, longest_first: bool = True) -> str:
     return "(?:" + "|".join(map(literal, ordered)) + ")"
 
 
+#: Entries of an array that are folded together; a fold copies what it has gathered at each step.
+BLOCK = 64
+
+
+def running_sql(numbers: str, op: str, first: str) -> str:
+    """For each entry of an array of bigint, op (over x and y) of the entries before it, from first on: in blocks, so the work grows with the array."""
+    kind = "cast(array() as array<bigint>)"
+    fold = "aggregate({of}, named_struct('x', {start}, 'got', " + kind + "), (s, y) -> named_struct('x', {op}, 'got', concat(s.got, array(s.x))))"
+    step = op.replace("x", "s.x")
+    within = fold.format(of="p.b", start="p.f", op=step) + ".got"
+    blocks = f"transform(sequence(0, (size(n) - 1) div {BLOCK}), k -> slice(n, k * {BLOCK} + 1, {BLOCK}))"
+    whole = f"transform(bs, b -> aggregate(b, cast({first} as bigint), (x, y) -> {op}))"
+    starts = fold.format(of=whole, start=f"cast({first} as bigint)", op=step) + ".got"
+    body = f"flatten(transform(array({blocks}), bs -> flatten(transform(zip_with(bs, {starts}, (b, f) -> named_struct('b', b, 'f', f)), p -> {within}))))"
+    return f"flatten(transform(array({numbers}), n -> if(size(n) = 0, {kind}, {body})))"
+
+
+def running(numbers: Column, maximum: bool = False) -> Column:
+    """For each entry of an array of whole numbers the sum, or the maximum (0 at least), of the entries before it."""
+    return let(numbers.cast("array<bigint>"), lambda n: _running(n, maximum))
+
+
+def _running(n: Column, maximum: bool) -> Column:
+    def op(x: Column, y: Column) -> Column:
+        return F.greatest(x, y) if maximum else x + y
+
+    none, zero = F.array().cast("array<bigint>"), F.lit(0).cast("bigint")
+
+    def fold(numbers: Column, start: Column) -> Column:
+        return F.aggregate(numbers, F.struct(start.alias("x"), none.alias("got")), lambda s, y: F.struct(op(s["x"], y).alias("x"), F.concat(s["got"], F.array(s["x"])).alias("got")))["got"]
+
+    def joined(blocks: Column) -> Column:
+        starts = fold(F.transform(blocks, lambda b: F.aggregate(b, zero, op)), zero)
+        return F.flatten(F.zip_with(blocks, starts, fold))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(n) - 1) / BLOCK).cast("int")), lambda k: F.slice(n, k * BLOCK + 1, F.lit(BLOCK)))
+    return F.when(F.size(n) == 0, none).otherwise(let(blocks, joined))
+
+
+def spliced(text: Column, parts: Column, tail: Column) -> Column:
+    """The stretches of a text before each part (struct<at, start, put>, in order: from ``at`` to ``start``), each followed by the part's ``put``, then the text from ``tail`` on.
+
+    A stretch is found by counting from a text's start, so each block of parts cuts a text of its own.
+    """
+
+    def block(b: Column) -> Column:
+        at, end = b[0]["at"], F.element_at(b, -1)["start"]
+        own = F.substr(text, at + 1, end - at)
+        return let(own, lambda t: F.array_join(F.transform(b, lambda x: F.concat(F.substr(t, x["at"] - at + 1, x["start"] - x["at"]), x["put"])), ""))
+
+    def joined(p: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / BLOCK).cast("int")), lambda k: block(F.slice(p, k * BLOCK + 1, F.lit(BLOCK))))
+        return F.when(F.size(p) == 0, "").otherwise(F.array_join(blocks, ""))
+
+    return F.concat(let(parts, joined), F.substr(text, tail + 1))
+
+
 def strip(col: Column) -> Column:
     """Without white space of any kind at the ends."""
     return F.regexp_replace(col, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
@@ -72,12 +129,13 @@ def spans_sql(text: str, p: str, made: str, kind: str, value: str = "v", keep: s
     patterns is quicker to build as text than operation by operation.
     """
     p, none = quoted(p), f"cast(array() as {kind})"
-    kept = f"flatten(transform(transform(array(v), v -> {value}), r -> if({keep}, array({made}), array())))"
-    found = f"flatten(transform(array(y.m), v -> flatten(transform(array(a.at + length(y.g)), b -> flatten(transform(array(b + length(v)), e -> {kept}))))))"
-    step = f"named_struct('at', a.at + length(y.g) + length(y.m), 'got', cast(concat(a.got, cast({found} as {kind})) as {kind}))"
+    kept = f"flatten(transform(transform(array(y.m), v -> {value}), r -> if({keep}, array({made}), array())))"
+    found = f"flatten(transform(array(int(y.at + length(y.g))), b -> flatten(transform(array(b + length(y.m)), e -> {kept}))))"
     # the texts between matches give the offsets; they are cut only where there are matches
-    pairs = f"zip_with(m, slice(split({text}, {p}, -1), 1, size(m)), (m, g) -> named_struct('m', m, 'g', g))"
-    whole = f"flatten(transform(array(regexp_extract_all({text}, {p}, 0)), m -> if(size(m) = 0, {none}, aggregate({pairs}, named_struct('at', 0, 'got', {none}), (a, y) -> {step}).got)))"
+    pairs = f"zip_with(ms, slice(split({text}, {p}, -1), 1, size(ms)), (m, g) -> named_struct('m', m, 'g', g))"
+    places = running_sql("transform(ps, q -> cast(length(q.m) + length(q.g) as bigint))", "x + y", "0")
+    placed = f"flatten(transform(array({pairs}), ps -> zip_with(ps, {places}, (q, at) -> named_struct('m', q.m, 'g', q.g, 'at', at))))"
+    whole = f"flatten(transform(array(regexp_extract_all({text}, {p}, 0)), ms -> if(size(ms) = 0, {none}, cast(flatten(transform({placed}, y -> {found})) as {kind}))))"
     return f"if({gate}, {whole}, {none})"
 
 
@@ -95,16 +153,19 @@ def spans(text: Column, p: str, keep: Callable[[Column], Column] | None = None,
     value = value or (lambda m: m)
     none = F.array().cast(MATCH)
 
-    def step(a: Column, y: Column) -> Column:
-        start = a["at"] + F.length(y["g"])
-        end = start + F.length(y["m"])
-        one = F.array(F.struct(value(y["m"]).alias("text"), start.alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.concat(a["got"], one if keep is None else F.when(keep(value(y["m"])), one).otherwise(none)).alias("got"))
+    def one(y: Column) -> Column:
+        start = (y["at"] + F.length(y["g"])).cast("int")
+        return F.struct(value(y["m"]).alias("text"), start.alias("start"), (start + F.length(y["m"])).alias("end"))
+
+    def placed(y: Column) -> Column:
+        at = running(F.transform(y, lambda q: F.length(q["m"]) + F.length(q["g"])))
+        got = F.transform(F.zip_with(y, at, lambda q, n: F.struct(q["m"].alias("m"), q["g"].alias("g"), n.alias("at"))), one)
+        return got if keep is None else F.filter(got, lambda x: keep(x["text"]))
 
     def located(m: Column) -> Column:
         # the texts between matches give the offsets; they are cut only where there are matches
-        pairs = F.arrays_zip(m.alias("m"), F.slice(F.split(text, p, -1), 1, F.size(m)).alias("g"))
-        return F.when(F.size(m) == 0, none).otherwise(F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("got")), step)["got"].cast(MATCH))
+        pairs = F.zip_with(m, F.slice(F.split(text, p, -1), 1, F.size(m)), lambda a, g: F.struct(a.alias("m"), g.alias("g")))
+        return F.when(F.size(m) == 0, none).otherwise(let(pairs, placed).cast(MATCH))
 
     found = let(F.regexp_extract_all(text, F.lit(p), F.lit(0)), located)
     return found if gate is None else F.when(gate, found).otherwise(none)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.regexlib import let, replace_with
+from ..functions.regexlib import let, replace_with, running, spliced
 from .detect import SPAN
 
 TOKENS = "array<struct<token:string,value:string,start:int,end:int>>"
@@ -20,66 +20,96 @@ def dedupe_contained(found: Column) -> Column:
     """SPN-1: of each type, spans within an earlier kept one go; types in order of first emission.
 
     In order of start, then longest, a kept span holds the next iff the largest end so far
-    reaches its end, so a running maximum stands for the kept list.
+    reaches its end, so a running maximum stands for the kept list; the type counts above the end,
+    so the maximum begins anew with each type.
     """
 
     def run(a: Column) -> Column:
-        types = F.array_distinct(F.transform(a, lambda s: s["entity_type"]))
-        keyed = F.transform(a, lambda s, i: F.struct(F.array_position(types, s["entity_type"]).alias("t"), s["start"].alias("b"), (s["start"] - s["end"]).alias("n"), i.alias("i"), s.alias("s")))
-        empty = F.struct(F.lit(0).cast("bigint").alias("t"), F.lit(-1).alias("m"), F.array().cast(SPAN).alias("out"))
+        return let(F.array_distinct(F.transform(a, lambda s: s["entity_type"])), lambda types: ordered(a, types))
 
-        def step(acc: Column, k: Column) -> Column:
-            new, s = k["t"] != acc["t"], k["s"]
-            keep = new | (acc["m"] < s["end"])
-            most = F.when(new, s["end"]).otherwise(F.greatest(acc["m"], s["end"]))
-            return F.struct(k["t"].alias("t"), most.alias("m"), F.when(keep, F.concat(acc["out"], F.array(s))).otherwise(acc["out"]).alias("out"))
+    def ordered(a: Column, types: Column) -> Column:
+        keyed = F.transform(a, lambda s, i: F.struct(F.array_position(types, s["entity_type"]).alias("t"), s["start"].alias("b"), (s["start"] - s["end"]).alias("n"), i.alias("i"), s.alias("s")))
+        return let(F.array_sort(keyed), kept)
 
-        return F.aggregate(F.array_sort(keyed), empty, step)["out"]
+    def kept(k: Column) -> Column:
+        reach = F.transform(k, lambda x: F.shiftleft(x["t"].cast("bigint"), 32) + x["s"]["end"])
+        marked = F.zip_with(k, F.zip_with(reach, running(reach, maximum=True), lambda r, m: r > m), lambda x, keep: F.struct(x["s"].alias("s"), keep.alias("keep")))
+        return F.transform(F.filter(marked, lambda x: x["keep"]), lambda x: x["s"])
 
-    return let(found, run)
+    return let(found, run).cast(SPAN)
 
 
-def dedupe_overlapping(found: Column) -> Column:
-    """SPN-2: widest first, then earliest; a span that overlaps a kept one goes.  The result is in that order."""
-    keyed = F.transform(found, lambda s, i: F.struct((s["start"] - s["end"]).alias("n"), s["start"].alias("b"), i.alias("i"), s.alias("s")))
+def _widest_first(keyed: Column) -> Column:
+    """The spans of structs that sort widest first, without those that overlap one before that stays."""
     return F.aggregate(
         F.array_sort(keyed),
-        F.array().cast(SPAN),
-        lambda kept, k: F.when(F.exists(kept, lambda o: (k["s"]["start"] < o["end"]) & (k["s"]["end"] > o["start"])), kept).otherwise(F.concat(kept, F.array(k["s"]))),
+        F.filter(keyed, lambda k: F.lit(False)),
+        lambda stay, k: F.when(F.exists(stay, lambda o: (k["s"]["start"] < o["s"]["end"]) & (k["s"]["end"] > o["s"]["start"])), stay).otherwise(F.concat(stay, F.array(k))),
     )
 
 
+def dedupe_overlapping(found: Column) -> Column:
+    """SPN-2: widest first, then earliest; a span that overlaps a kept one goes.  The result is in that order.
+
+    Only spans of one stretch without a gap can meet, so each stretch is decided for itself.
+    """
+
+    def run(a: Column) -> Column:
+        keyed = F.transform(a, lambda s, i: F.struct((s["start"] - s["end"]).alias("n"), s["start"].alias("b"), i.alias("i"), s.alias("s")))
+        return let(F.array_sort(keyed, lambda x, y: F.when(x["b"] < y["b"], -1).when(x["b"] > y["b"], 1).otherwise(0)), stretches)
+
+    def stretches(k: Column) -> Column:
+        reach = running(F.transform(k, lambda x: x["s"]["end"].cast("bigint")), maximum=True)
+        # 1-based places at which a stretch begins
+        begins = F.filter(F.zip_with(F.sequence(F.lit(1), F.size(k)), F.zip_with(k, reach, lambda x, m: x["b"] >= m), lambda i, new: F.when(new | (i == 1), i)), lambda i: i.isNotNull())
+        return let(begins, lambda at: decided(k, at))
+
+    def decided(k: Column, at: Column) -> Column:
+        ends = F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(F.size(k) + 1))
+        parts = F.zip_with(at, ends, lambda s, e: F.slice(k, s, e - s))
+        stay = F.flatten(F.transform(parts, lambda x: F.when(F.size(x) == 1, x).otherwise(_widest_first(x))))
+        return F.transform(F.array_sort(stay), lambda x: x["s"])
+
+    return F.when(F.size(found) < 2, found).otherwise(let(found, run)).cast(SPAN)
+
+
 def assign_tokens(kept: Column) -> Column:
     """MSK-1: from the end of the text, a counter for each type; the last span of a type is number 1."""
 
     def run(a: Column) -> Column:
-        ordered = F.array_sort(F.transform(a, lambda s, i: F.struct((-s["start"]).alias("b"), i.alias("i"), s.alias("s"))))
-
-        def numbered(all_: Column) -> Column:
-            return F.transform(
-                all_,
-                lambda k, i: F.struct(
-                    F.concat(
-                        F.lit("["), k["s"]["entity_type"], F.lit("_"),
-                        F.size(F.filter(F.slice(all_, 1, i + 1), lambda o: o["s"]["entity_type"] == k["s"]["entity_type"])).cast("string"), F.lit("]"),
-                    ).alias("token"),
+        # by type, then from the end: a span's number is its distance from the first of its type
+        return let(F.array_sort(F.transform(a, lambda s, i: F.struct(s["entity_type"].alias("t"), (-s["start"]).alias("b"), i.alias("i"), s.alias("s")))), numbered)
+
+    def numbered(all_: Column) -> Column:
+        firsts = let(F.transform(all_, lambda k: k["t"]), lambda t: F.transform(F.array_distinct(t), lambda x: F.struct(x, F.array_position(t, x))))
+        return let(F.map_from_entries(firsts), lambda of: named(all_, of))
+
+    def named(all_: Column, firsts: Column) -> Column:
+        made = F.transform(
+            all_,
+            lambda k, i: F.struct(
+                k["b"].alias("b"),
+                k["i"].alias("i"),
+                F.struct(
+                    F.concat(F.lit("["), k["t"], F.lit("_"), (i + 2 - F.element_at(firsts, k["t"])).cast("string"), F.lit("]")).alias("token"),
                     k["s"]["text"].alias("value"), k["s"]["start"].alias("start"), k["s"]["end"].alias("end"),
-                ),
-            )
+                ).alias("x"),
+            ),
+        )
+        return F.transform(F.array_sort(made), lambda x: x["x"])
 
-        return let(ordered, numbered)
-
-    return let(kept, run).cast(TOKENS)
+    return F.when(F.size(kept) == 0, F.array()).otherwise(let(kept, run)).cast(TOKENS)
 
 
 def splice(text: Column, tokens: Column) -> Column:
     """MSK-2: the text with each span replaced by its token; tokens are in descending order of start."""
-    state = F.aggregate(
-        F.reverse(tokens),
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, t: F.struct(t["end"].alias("at"), F.concat(a["out"], F.substr(text, a["at"] + 1, t["start"] - a["at"]), t["token"]).alias("out")),
-    )
-    return F.when(F.size(tokens) == 0, text).otherwise(let(state, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1))))
+
+    def run(t: Column) -> Column:
+        before = F.concat(F.array(F.lit(0)), F.transform(t, lambda x: x["end"]))
+        parts = F.zip_with(t, F.slice(before, F.lit(1), F.size(t)), lambda x, at: F.struct(at.alias("at"), x["start"].alias("start"), x["token"].alias("put")))
+        return spliced(text, parts, F.element_at(t, -1)["end"])
+
+    return F.when(F.size(tokens) == 0, text).otherwise(let(F.reverse(tokens), run))
 
 
 def restore(masked: Column, tokens: Column) -> Column:

@@ -61,7 +61,9 @@ def test_normalise(spark, given, expected):
 
 
 def test_damage_flag(spark):
-    assert column(spark, ["E l i o n a  S h k u r t i", "A clean sentence with words.", ""], N.is_damaged) == [True, False, False]
+    # one of the five words of the second text is a single letter, more than 8 of 100
+    texts = ["E l i o n a  S h k u r t i", "A clean sentence with words.", "Clean sentences hold longer words.", "", "1 2 3 4 5 6 7 8 9 0"]
+    assert column(spark, texts, N.is_damaged) == [True, True, False, False, True]
 
 
 def sequential(spans_):
