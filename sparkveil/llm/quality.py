@@ -14,8 +14,11 @@ A line of words fails if
   words one of which is a navigation word, without an end mark;
 * boilerplate: it holds one of the ``BOILERPLATE`` phrases.
 
+Words are runs between ASCII white space everywhere, whatever the length of a line.
+
 Defined cases: null text has no words, so it fails; equal lines are counted from the second on;
-rows with the same doc_id keep a row each; other columns are ignored.
+rows with the same doc_id, null or not, keep a row each; a text may be as long as a row can be, the
+work grows with its length; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,19 +47,19 @@ NAVIGATION_WORDS = frozenset("home menu login logout register search contact abo
 SEPARATORS = re.compile(r"\s[|>»›•·/]\s|\s?[|»›•]\s?")
 
 
-def line_fails(line: str, words: list[str]) -> str | None:
-    """The rule that a line of words fails, if any."""
+def line_fails(line: str, words: list[bytes]) -> str | None:
+    """The rule that a line fails, if any; words are those of the line, in UTF-8."""
     n = len(words)
     if sum(map(line.count, "!?")) > MAX_MARKS * n + 1:
         return "punctuation"
     if sum(map(line.count, SYMBOLS)) - line.count("|") > MAX_SYMBOLS * n:
         return "symbols"
-    ended = words[-1].endswith(TERMINAL)
+    ended = words[-1].decode().endswith(TERMINAL)
     if any(x in line for x in "|>»›•·/"):
         cells = SEPARATORS.split(line.strip())
         if len(cells) >= 3 and n <= 4 * len(cells):
             return "navigation"
-    if n <= 3 and not ended and any(w.lower().strip(":|>") in NAVIGATION_WORDS for w in words):
+    if n <= 3 and not ended and any(w.decode().lower().strip(":|>") in NAVIGATION_WORDS for w in words):
         return "navigation"
     if BOILERPLATE.search(line):
         return "boilerplate"
@@ -95,14 +98,14 @@ def judge(text: str) -> tuple[int, int, int, int, int, bool, bool, int, str]:
     dups = failed = lost = 0
     left: list[str] = []
     for line in text.split("\n"):
-        own = [w.decode() for w in line.encode("utf-8", "replace").split()] if len(line) < 200 else line.split()
-        if not line.strip(SPACES):
+        own = line.encode("utf-8", "replace").split()
+        if not own:
             left.append(line)
             continue
         if line in seen:
             dups += 1
         seen.add(line)
-        if not own or line_fails(line, own):
+        if line_fails(line, own):
             failed += 1
             lost += len(line) - sum(map(line.count, SPACES))
         else:
