@@ -10,9 +10,11 @@ left each different one is aligned once, word by word, and its result joined to
 best local alignment scores 2 a match, -1 a mismatch or gap, over 2 a word of the item.
 ``THRESHOLD`` decides.
 
-Defined cases: null texts and null ids of items have no passages; items with fewer words than a
-seed are not searched; a document row with a null id is not reported; rows of documents with
-the same id are one document; an empty table on either side gives no rows; other columns are
+Defined cases: null texts and null ids of items have no passages; an item with fewer words than a
+seed is a seed as a whole, one without words is not searched; rows of items with the same id are
+texts of one item, each searched; a document row with a null id is not reported; rows of documents
+with the same id are one document, of equal scores the first passage counts; a text may be as long
+as a row can be, it is streamed; an empty table on either side gives no rows; other columns are
 ignored.
 """
 
@@ -39,51 +41,53 @@ def words_of(text: str) -> list[str]:
 
 
 class Seeds:
-    """Sorted n-gram hashes of a block of items and where they stand."""
+    """Sorted n-gram hashes of a block of item texts and where they stand; a text shorter than n is one n-gram of its own length."""
 
     def __init__(self, items: list[tuple[int, str]], n: int = SEED_WORDS) -> None:
-        self.n = n
         self.items = {i: words_of(t) for i, t in items}
         self.vocabulary: dict[str, int] = {}
-        grams, owners, places = [], [], []
+        found: dict[int, list[list[np.ndarray]]] = {}
         for i, words in self.items.items():
             ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words], np.uint64)
-            if len(ids) >= n:
-                g = self.hashes(ids)
-                grams.append(g)
-                owners += [i] * len(g)
-                places += range(len(g))
-        h = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        order = np.argsort(h, kind="stable")
-        self.grams, self.owners, self.places = h[order], np.array(owners, np.int64)[order], np.array(places, np.int64)[order]
-
-    def hashes(self, ids: np.ndarray) -> np.ndarray:
-        h = np.zeros(len(ids) - self.n + 1, np.uint64)
-        for k in range(self.n):
+            if len(ids):
+                g = self.hashes(ids, min(n, len(ids)))
+                found.setdefault(min(n, len(ids)), []).append([g, np.full(len(g), i), np.arange(len(g))])
+        #: By length of the n-grams: their hashes, ascending, the texts and the places there.
+        self.grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size, parts in found.items():
+            h, owners, places = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(h, kind="stable")
+            self.grams[size] = h[order], owners[order], places[order]
+
+    @staticmethod
+    def hashes(ids: np.ndarray, n: int) -> np.ndarray:
+        h = np.zeros(len(ids) - n + 1, np.uint64)
+        for k in range(n):
             h = mix(h * np.uint64(0x100000001B3) + ids[k : k + len(h)] + np.uint64(1))
         return h
 
-    def hits(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(place in the document, row of the sorted n-grams) of each hit."""
-        none = np.zeros(0, np.int64)
-        if len(words) < self.n or not len(self.grams):
-            return none, none
+    def hits(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in the document, text, place there) of each hit."""
         get = self.vocabulary.get
         ids = np.array([get(w, -1) for w in words], np.int64)
         known = ids >= 0
-        ok = known[: len(ids) - self.n + 1].copy()
-        for k in range(1, self.n):
-            ok &= known[k : k + len(ok)]
-        at = np.flatnonzero(ok)
-        if not len(at):
-            return none, none
-        h = self.hashes(ids.astype(np.uint64))[at]
-        low, high = np.searchsorted(self.grams, h, "left"), np.searchsorted(self.grams, h, "right")
-        count = high - low
-        if not count.any():
-            return none, none
-        begin = np.cumsum(count) - count
-        return np.repeat(at, count), np.repeat(low - begin, count) + np.arange(count.sum())
+        out = [(np.zeros(0, np.int64),) * 3]
+        for n, (grams, owners, places) in self.grams.items():
+            if len(ids) < n:
+                continue
+            ok = known[: len(ids) - n + 1].copy()
+            for k in range(1, n):
+                ok &= known[k : k + len(ok)]
+            at = np.flatnonzero(ok)
+            if not len(at):
+                continue
+            h = self.hashes(ids.astype(np.uint64), n)[at]
+            low, high = np.searchsorted(grams, h, "left"), np.searchsorted(grams, h, "right")
+            count = high - low
+            begin = np.cumsum(count) - count
+            row = np.repeat(low - begin, count) + np.arange(count.sum())
+            out.append((np.repeat(at, count), owners[row], places[row]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def smith_waterman(doc: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
@@ -121,11 +125,11 @@ def shared_words(region: list[str], item: Counter[str]) -> int:
     return (Counter(w for w in region if w in item) & item).total()
 
 
-HITS = "doc_id long, item_id long, first long, region string"
+HITS = "doc_id long, part long, first long, region string"
 
 
 def _hits(docs: DataFrame, shared, threshold: float) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("first", pa.int64()), ("region", pa.string())])
+    schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int64()), ("first", pa.int64()), ("region", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds: Seeds = shared.value
@@ -135,15 +139,14 @@ def _hits(docs: DataFrame, shared, threshold: float) -> DataFrame:
             texts = batch.column("text")
             for k, doc_id in enumerate(batch.column("doc_id").to_pylist()):
                 words = words_of(texts[k].as_py())
-                at, row = seeds.hits(words)
+                at, owner, place = seeds.hits(words)
                 if not len(at):
                     continue
-                owner = seeds.owners[row]
                 for item in np.unique(owner).tolist():
                     mine = owner == item
                     size = len(seeds.items[item])
                     pad = max(8, size // 2)
-                    diagonal = at[mine] - seeds.places[row[mine]]
+                    diagonal = at[mine] - place[mine]
                     order = np.argsort(diagonal, kind="stable")
                     low = np.maximum(diagonal[order] - pad, 0)
                     high = np.minimum(diagonal[order] + size + pad, len(words))
@@ -166,18 +169,18 @@ def _hits(docs: DataFrame, shared, threshold: float) -> DataFrame:
     return map_batches(text_rows(docs).filter("text is not null and doc_id is not null"), run, HITS)
 
 
-ALIGNED = "item_id long, region string, score double, start long, end long"
+ALIGNED = "part long, region string, score double, start long, end long"
 
 
 def _aligned(regions: DataFrame, shared, threshold: float) -> DataFrame:
-    """The alignments at the threshold or above of stretches (item_id, region)."""
-    schema = pa.schema([("item_id", pa.int64()), ("region", pa.string()), ("score", pa.float64()), ("start", pa.int64()), ("end", pa.int64())])
+    """The alignments at the threshold or above of stretches (part, region)."""
+    schema = pa.schema([("part", pa.int64()), ("region", pa.string()), ("score", pa.float64()), ("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds: Seeds = shared.value
         for batch in batches:
             out: list[list] = [[] for _ in schema]
-            for item, region in zip(*(batch.column(c).to_pylist() for c in ("item_id", "region")), strict=True):
+            for item, region in zip(*(batch.column(c).to_pylist() for c in ("part", "region")), strict=True):
                 score, start, end = align(region.split(" "), seeds.items[item])
                 if score >= threshold:
                     for column, value in zip(out, (item, region, score, start, end), strict=True):
@@ -190,16 +193,19 @@ def _aligned(regions: DataFrame, shared, threshold: float) -> DataFrame:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, score, start, end): leaked items of each document, the best alignment of each, in words."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropna().groupBy("item_id").agg(F.min("text").alias("text"))
+    texts = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropna().distinct()
+    # part numbers the texts; written, so that it stays what it is
+    items = materialise(texts.withColumn("part", F.monotonically_increasing_id()))
     total = items.agg(F.coalesce(F.sum(F.size(F.split("text", r"\s+"))), F.lit(0))).first()[0]
     blocks = max(1, -(-total // BLOCK_WORDS))
     found = None
     for b in range(blocks):
-        block = [(r["item_id"], r["text"]) for r in items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()]  # about BLOCK_WORDS words
+        block = [(r["part"], r["text"]) for r in items.filter(F.pmod(F.xxhash64("part"), F.lit(blocks)) == b).collect()]  # about BLOCK_WORDS words
         shared = spark.sparkContext.broadcast(Seeds(block))
         hits = materialise(_hits(docs, shared, threshold))
-        aligned = materialise(_aligned(hits.select("item_id", "region").distinct(), shared, threshold))
-        got = hits.join(aligned, ["item_id", "region"]).select("doc_id", "item_id", "score", (F.col("first") + F.col("start")).alias("start"), (F.col("first") + F.col("end")).alias("end"))
+        aligned = materialise(_aligned(hits.select("part", "region").distinct(), shared, threshold))
+        got = hits.join(aligned, ["part", "region"]).select("doc_id", "part", "score", (F.col("first") + F.col("start")).alias("start"), (F.col("first") + F.col("end")).alias("end"))
         found = got if found is None else found.union(got)
     best = F.max(F.struct(F.col("score"), (-F.col("start")).alias("start"), F.col("end"))).alias("x")
-    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "x.score", (-F.col("x.start")).alias("start"), "x.end")
+    named = found.join(items.select("part", "item_id"), "part")
+    return named.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "x.score", (-F.col("x.start")).alias("start"), "x.end")
