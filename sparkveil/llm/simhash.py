@@ -1,19 +1,22 @@
 """SimHash near-duplicates through an inverted index on byte positions.
 
 A fingerprint has 64 bits: eight bytes.  Two fingerprints that differ in at most d bits share
-at least 8 - d of their positional bytes, the guaranteed minimum of the count filter.  With
-d = 2 every fingerprint is posted under each choice of six positions (28 lists), so that a
-pair which reaches the minimum meets in a list, and only such pairs do.  A list of six fixed
-bytes has two free ones: 65,536 different fingerprints at most, a proven bound on what a task
-holds at once, however large a group of copies is (equal fingerprints are one entry).
-In a list, shared positional bytes are tallied per pair and pairs at the minimum verified by
-the number of differing bits; long lists look the verified neighbours up instead of pairing.
-A list emits the links of its members to the least one they are connected to, never all pairs.
+at least 8 - d of their positional bytes, the guaranteed minimum of the count filter, and at
+least 4 - d of the four pairs of neighbouring bytes.  Every fingerprint is posted under each
+choice of so many pairs (six lists for d = 2), so that fingerprints which reach the minimum meet
+in a list.  In a list the shared positional bytes are tallied for each pair, pairs below the minimum
+go, and the others are verified by the number of differing bits.
+
+A list that is longer than ``LIST`` is posted again under each choice of d of its free bytes. Those
+lists have two free bytes for d = 2, 65,536 different fingerprints at most, a proven bound on what a
+task holds, however large a group of copies is (equal fingerprints are one entry).  A list emits the
+links of its members to the least one they are connected to, never all pairs.
 
 Defined cases: no word (or null text) gives fingerprint 0, which links like any other; fewer
 words than a shingle has give one shingle of all words; rows with the same doc_id keep a row
-each; a null doc_id never is a component's name unless no other is there; an empty table gives
-no rows; other columns are ignored.
+each; a null doc_id never is a component's name unless no other is there; a text may be as long as
+a row can be, its hashes are summed by the 65,536; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ from .common import map_batches, materialise, mix, text_rows
 from .components import connected_components, forest
 
 SEED = 42
+#: Fingerprints of a list that is not split: bounds the work of a task, not the result.
+LIST = 4096
 
 
 def fingerprint(words: list[bytes], shingle: int) -> int:
@@ -82,15 +87,37 @@ def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
     return map_batches(text_rows(docs), run, "doc_id long, fp long")
 
 
-def _postings(fps: DataFrame, d: int) -> DataFrame:
-    """A row for each fingerprint and choice of 8 - d byte positions: the choice's number and the bytes there."""
-    lists = []
-    for number, kept in enumerate(combinations(range(8), 8 - d)):
-        mask = sum(0xFF << 8 * p for p in kept)
-        mask = mask - (1 << 64) if mask >= 1 << 63 else mask
-        lists.append(F.struct(F.lit(number).cast("int").alias("list"), F.col("fp").bitwiseAND(F.lit(mask)).alias("bytes")))
-    got = fps.select("copy", "fp", "node", F.inline(F.array(*lists)))
-    return got.select((F.col("copy") * len(lists) + F.col("list")).cast("int").alias("list"), "bytes", "fp", "node")
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >= 1 << 63 else mask
+
+
+def masks(d: int) -> tuple[list[int], list[list[int]]]:
+    """The bytes that a list holds fixed, for each first list and for each of the lists that it is split into."""
+    pair = [0xFFFF << 16 * p for p in range(4)]
+    first = [sum(kept) for kept in combinations(pair, 4 - d)]
+    free = [[p for p in range(8) if not m >> 8 * p & 0xFF] for m in first]
+    return first, [[m + sum(0xFF << 8 * p for p in more) for more in combinations(left, d)] for m, left in zip(first, free, strict=True)]
+
+
+def _postings(fps: DataFrame, numbered: dict[int, int]) -> DataFrame:
+    """A row for each fingerprint and mask (number: mask): the list's number and the bytes there."""
+    lists = [F.struct(F.lit(number).alias("list"), F.col("fp").bitwiseAND(F.lit(_signed(mask))).alias("bytes")) for number, mask in numbered.items()]
+    return fps.select("copy", "fp", "node", F.inline(F.array(*lists)))
+
+
+def posted(fps: DataFrame, d: int) -> DataFrame:
+    """(copy, list, bytes, fp, node): all postings, long lists split."""
+    first, split = masks(d)
+    rows = _postings(fps, dict(enumerate(first)))
+    key = ["copy", "list", "bytes"]
+    long_lists = materialise(rows.groupBy(*key).agg(F.count("*").alias("n")).filter(F.col("n") > LIST).select(*key))
+    if long_lists.isEmpty():
+        return rows
+    out = rows.join(long_lists, key, "left_anti")
+    for number, more in enumerate(split):
+        again = rows.filter(F.col("list") == number).join(long_lists, key, "left_semi").select("copy", "fp", "node")
+        out = out.unionByName(_postings(again, {len(first) + number * len(more) + k: m for k, m in enumerate(more)}))
+    return out
 
 
 _POPCOUNT = np.array([bin(x).count("1") for x in range(1 << 16)], np.uint8)
@@ -106,69 +133,58 @@ def shared_bytes(x: np.ndarray) -> np.ndarray:
 
 
 def links(fps: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a list (different unsigned fingerprints) that pass the tally and the check."""
-    m = len(fps)
-    if m <= 256:
-        i, j = np.triu_indices(m, 1)
-        x = fps[i] ^ fps[j]
-        ok = (shared_bytes(x) >= 8 - d) & (bits(x) <= d)
-        return fps[i[ok]], fps[j[ok]]
-    # A long list: neighbours by value.  All differences lie in the free bytes.
-    fps = np.sort(fps)
-    free = np.bitwise_or.reduce(fps ^ fps[0])
-    places = [np.uint64(1 << b) for b in range(64) if int(free) >> b & 1]
+    """Places of the pairs of a list (different unsigned fingerprints) that pass the tally and the check."""
     us, vs = [], []
-    for n in range(1, d + 1):
-        for chosen in combinations(places, n):
-            other = fps ^ np.bitwise_or.reduce(np.array(chosen))
-            at = np.minimum(np.searchsorted(fps, other), m - 1)
-            ok = (fps[at] == other) & (fps < other)
-            if ok.any():
-                us.append(fps[ok])
-                vs.append(other[ok])
-    return (np.concatenate(us), np.concatenate(vs)) if us else (fps[:0], fps[:0])
+    m = len(fps)
+    rows = max(1, (1 << 20) // m)
+    for at in range(0, m - 1, rows):
+        x = fps[at : at + rows, None] ^ fps[None, at + 1 :]
+        i, j = np.nonzero(shared_bytes(x) >= 8 - d)
+        ok = (j >= i) & (bits(x[i, j]) <= d)
+        us.append(at + i[ok])
+        vs.append(at + 1 + j[ok])
+    return np.concatenate(us), np.concatenate(vs)
 
 
 def near_edges(fps: DataFrame, d: int) -> DataFrame:
     """(u, v): links between nodes that connect all fingerprints (copy, fp, node; each copy's fingerprints once) at d or fewer differing bits."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
     spark = fps.sparkSession
-    posted = _postings(fps, d).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "list", "bytes").sortWithinPartitions("list", "bytes")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = posted(fps, d).repartition(parts, "copy", "list", "bytes").sortWithinPartitions("copy", "list", "bytes")
 
     def linked(fp: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
         u, v = links(fp.view(np.uint64), d)
         if not len(u):
             return None
-        order = np.argsort(fp)
-        at = [node[order[np.searchsorted(fp, x.view(np.int64), sorter=order)]] for x in (u, v)]
-        return forest(*at)
+        return forest(node[u], node[v])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # A list that goes on in the next batch is held: 65,536 fingerprints at most.
+        # A list that goes on in the next batch is held: LIST fingerprints, or 65,536, at most.
         held: list[tuple[np.ndarray, np.ndarray]] = []
         key = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            fp, node, lists, value = (batch.column(c).to_numpy() for c in ("fp", "node", "list", "bytes"))
-            starts = np.concatenate([[0], np.flatnonzero((lists[1:] != lists[:-1]) | (value[1:] != value[:-1])) + 1, [len(fp)]])
+            fp, node, copy, lists, value = (batch.column(c).to_numpy() for c in ("fp", "node", "copy", "list", "bytes"))
+            starts = np.concatenate([[0], np.flatnonzero((copy[1:] != copy[:-1]) | (lists[1:] != lists[:-1]) | (value[1:] != value[:-1])) + 1, [len(fp)]])
             groups = np.flatnonzero((np.diff(starts) > 1) | (np.arange(len(starts) - 1) == len(starts) - 2) | (np.arange(len(starts) - 1) == 0))
             found = []
             for g in groups.tolist():
                 part = (fp[starts[g] : starts[g + 1]], node[starts[g] : starts[g + 1]])
-                if g == 0 and key == (lists[0], value[0]):
+                if g == 0 and key == (copy[0], lists[0], value[0]):
                     held.append(part)
                 else:
                     if held and sum(len(x) for x, _ in held) > 1 and (got := linked(*(np.concatenate(x) for x in zip(*held, strict=True)))):
                         found.append(got)
                     held = [part]
-            key = (lists[-1], value[-1])
+            key = (copy[-1], lists[-1], value[-1])
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], schema=schema)
         if held and sum(len(x) for x, _ in held) > 1 and (got := linked(*(np.concatenate(x) for x in zip(*held, strict=True)))):
             yield pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1])], schema=schema)
 
-    return map_batches(posted, run, "u long, v long")
+    return map_batches(ordered, run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
