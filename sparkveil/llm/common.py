@@ -126,3 +126,10 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+
+
+def free_prefix(df: DataFrame, prefix: str) -> str:
+    """A prefix, the given one or longer, with which no column's name begins, in whatever case."""
+    while any(c.lower().startswith(prefix.lower()) for c in df.columns):
+        prefix += "_"
+    return prefix

@@ -21,7 +21,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_rows
+from ..functions.regexlib import let, running, spliced
+from .common import free_prefix, text_rows
 
 NEAR = 40
 THRESHOLD = 0.5
@@ -90,37 +91,25 @@ def spans_of(text: Column, kind: str) -> Column:
     pattern, (prior, words, gain) = F.lit(PATTERNS[kind]), SCORES[kind]
     kind_type = "array<struct<kind:string,start:int,end:int,score:double>>"
 
-    def located(x: Column) -> Column:
-        """Candidates with their places: the texts between matches give the offsets, in one pass."""
-        state = F.aggregate(
-            F.arrays_zip(x["m"].alias("m"), F.slice(x["g"], 1, F.size(x["m"])).alias("g")),
-            F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<value:string,start:int,end:int,before:string>>").alias("got")),
-            lambda a, y: F.struct(
-                (a["at"] + F.length(y["g"]) + F.length(y["m"])).alias("at"),
-                F.concat(
-                    a["got"],
-                    F.when(
-                        valid(kind, y["m"]),
-                        F.array(
-                            F.struct(
-                                y["m"].alias("value"),
-                                (a["at"] + F.length(y["g"])).alias("start"),
-                                (a["at"] + F.length(y["g"]) + F.length(y["m"])).alias("end"),
-                                (F.lower(F.right(y["g"], F.lit(NEAR))) if words else F.lit("")).alias("before"),
-                            )
-                        ),
-                    ).otherwise(F.array().cast("array<struct<value:string,start:int,end:int,before:string>>")),
-                ).alias("got"),
-            ),
+    def placed(p: Column) -> Column:
+        """The confirmed ones of matches (m, after the text g) with their places."""
+        at = running(F.transform(p, lambda y: F.length(y["g"]) + F.length(y["m"])))
+        whole = F.zip_with(p, at, lambda y, n: F.struct(y["m"].alias("m"), y["g"].alias("g"), (n + F.length(y["g"])).cast("int").alias("start")))
+        return F.transform(
+            F.filter(whole, lambda y: valid(kind, y["m"])),
+            lambda y: F.struct(y["start"].alias("start"), (y["start"] + F.length(y["m"])).alias("end"), (F.lower(F.right(y["g"], F.lit(NEAR))) if words else F.lit("")).alias("before")),
         )
-        return state["got"]
+
+    def located(x: Column) -> Column:
+        """Candidates with their places: the texts between matches give the offsets."""
+        return let(F.zip_with(x["m"], F.slice(x["g"], 1, F.size(x["m"])), lambda m, g: F.struct(m.alias("m"), g.alias("g"))), placed)
 
     def scored(s: Column) -> Column:
         score = F.lit(prior) if not words else F.lit(prior) + F.when(s["before"].rlike(words), gain).otherwise(0.0)
         return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), score.alias("score"))
 
-    one = F.array(F.struct(F.regexp_extract_all(text, pattern, F.lit(0)).alias("m"), F.split(text, PATTERNS[kind], -1).alias("g")))
-    found = F.transform(F.element_at(F.transform(one, located), 1), scored)
+    both = F.struct(F.regexp_extract_all(text, pattern, F.lit(0)).alias("m"), F.split(text, PATTERNS[kind], -1).alias("g"))
+    found = F.transform(let(both, located), scored)
     if words:
         found = F.filter(found, lambda s: s["score"] >= THRESHOLD)
     return F.when(text.rlike(GATES[kind]), found.cast(kind_type)).otherwise(F.array().cast(kind_type))
@@ -129,8 +118,9 @@ def spans_of(text: Column, kind: str) -> Column:
 def find_pii_columns(df: DataFrame, text: str, out: str) -> DataFrame:
     """Adds the spans of all kinds in a text column (not null), by kind as listed, then start; other columns stay."""
     # one kind a projection: each refers to the text only
-    parts = reduce(lambda frame, kind: frame.withColumn(f"_pii_{kind}", spans_of(F.col(text), kind)), PATTERNS, df)
-    return parts.withColumn(out, F.concat(*(F.col(f"_pii_{k}") for k in PATTERNS))).drop(*(f"_pii_{k}" for k in PATTERNS))
+    own = free_prefix(df, "_pii_")
+    parts = reduce(lambda frame, kind: frame.withColumn(own + kind, spans_of(F.col(text), kind)), PATTERNS, df)
+    return parts.withColumn(out, F.concat(*(F.col(own + k) for k in PATTERNS))).drop(*(own + k for k in PATTERNS))
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
@@ -149,12 +139,11 @@ def of_kinds(spans: Column, kinds: tuple[str, ...]) -> Column:
 
 def redact(text: Column, spans: Column) -> Column:
     """The text with each stretch of spans replaced by ``[KIND]`` of its first span; overlapping spans become one."""
+
+    def stretches(k: Column) -> Column:
+        reach = running(F.transform(k, lambda x: x["end"]), maximum=True)
+        firsts = F.zip_with(k, reach, lambda x, m: F.when(x["start"] >= m, F.struct(m.cast("int").alias("at"), x["start"].alias("start"), F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")).alias("put"))))
+        return spliced(text, F.filter(firsts, lambda x: x.isNotNull()), F.array_max(F.transform(k, lambda x: x["end"])))
+
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    done = F.aggregate(
-        ordered,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, s: F.when(s["start"] < a["at"], F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))).otherwise(
-            F.struct(s["end"].alias("at"), F.concat(a["out"], F.substr(text, a["at"] + 1, s["start"] - a["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out"))
-        ),
-    )
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(done["out"], F.substr(text, done["at"] + 1)))
+    return F.when(F.size(spans) == 0, text).otherwise(let(ordered, stretches))
