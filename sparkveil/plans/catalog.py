@@ -20,6 +20,7 @@ from ..operators.evaluate import found_items, recall_report
 from ..operators.records import batch_summary, counts_by_type, detections_table, records
 from ..sources.documents import dictionary_score, from_table, layout_score
 from . import engine as E
+from .oracles import chain_sql, recall_sql
 from .synthetic import CVS, MASKED, SPANS
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -151,6 +152,11 @@ def anonymise_cvs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.sanitise(E.anonymise(_cv_documents(spark, sf_dir))).select("doc_key", "anonymised_text", "sanitised_text")
 
 
+def mask_cvs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The masked texts alone: detection, resolution and masking of the whole chain."""
+    return E.anonymise(_cv_documents(spark, sf_dir)).select("doc_key", "anonymised_text")
+
+
 def anonymise_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = E.anonymise(from_table(table(spark, sf_dir, "pages"), "page_id", "html", "pages"))
     return a.select("doc_key", F.size("detections").alias("n_detections"), F.length("anonymised_text").alias("n_chars"))
@@ -190,7 +196,7 @@ def recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     mail = F.concat(F.lit("user"), F.col("c_custkey"), F.lit("@mail"), F.col("c_custkey") % 10, F.lit(".com"))
     truth = base.select(F.col("c_custkey").cast("string").alias("stem"), F.lit("EMAIL").alias("category"), mail.alias("expected")).union(base.select(F.col("c_custkey").cast("string"), F.lit("LOCATION"), F.when(F.col("c_custkey") % 3 == 0, "Durres").when(F.col("c_custkey") % 3 == 1, "Oslo").otherwise("Shkoder")))
     found = _detected(lambda t: [*D.l1(t, types=["EMAIL"]), D.locations(t)])(spark, sf_dir).select(F.col("cv_id").cast("string").alias("stem"), "entity_type", "text")
-    return recall_report(found_items(truth, found)).groupBy("category").agg(F.sum("expected_items").alias("expected_items"), F.sum("found_items").alias("found_items"))
+    return recall_report(found_items(truth, found)).filter("stem is null").drop("stem")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -198,6 +204,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "anonymise_documents": anonymise_documents,
         "anonymise_cvs": anonymise_cvs,
         "anonymise_pages": anonymise_pages,
+        "mask_cvs": mask_cvs,
         "span_offsets_email": span_offsets_email,
         **{f"detect_{t.lower()}": _detected(lambda text, t=t: D.l1(text, types=[t])) for t in L.L1_PATTERNS},
         **{f"detect_{t.lower()}": _detected(lambda text, t=t: D.personal(text, types=[t])) for t in L.PERSONAL_PATTERNS},
@@ -329,9 +336,5 @@ def oracle_sql() -> dict[str, str]:
         "WITH o AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Snowflake ' WHEN 1 THEN p_name || ' University' WHEN 2 THEN 'Academy ' || p_name ELSE p_name END AS n FROM part), x AS (SELECT *, trim(lower(n)) AS l FROM o) "
         f"SELECT p_partkey, CASE WHEN l IN ({tools}) THEN trim(n) WHEN length(l) < 2 THEN '' WHEN {holds(L.UNIVERSITY_WORDS)} THEN '[UNIVERSITY]' WHEN {holds(L.TRAINING_WORDS)} THEN '[TRAINING_PROVIDER]' ELSE '[COMPANY]' END AS label FROM x"
     )
-    out["recall_report"] = (
-        "WITH n AS (SELECT count(*) AS c, count(*) FILTER (c_custkey % 3 <> 1) AS l FROM customer), x AS (SELECT 'EMAIL' AS category, 2 * c AS e, 2 * c AS f FROM n "
-        "UNION ALL SELECT 'LOCATION', 2 * c, 2 * l FROM n UNION ALL SELECT NULL, 2 * c, c + l FROM n) "
-        "SELECT category, CAST(e AS BIGINT) AS expected_items, CAST(f AS BIGINT) AS found_items FROM x"
-    )
-    return out
+    out["recall_report"] = recall_sql()
+    return out | chain_sql()
