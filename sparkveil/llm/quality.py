@@ -40,11 +40,11 @@ TERMINAL = tuple(".!?…\"'”’»):;。！？")
 #: Phrases and words of page furniture.
 BOILERPLATE = re.compile(
     r"all rights reserved|cookie(?:s)? policy|use(?:s)? cookies|privacy policy|terms of (?:use|service)|terms and conditions|enable javascript|"
-    r"lorem ipsum|click here|sign up for|subscribe to|log in to|powered by|copyright ©|© ?\d{4}|share on facebook|follow us on|back to top|skip to (?:main )?content",
+    r"lorem ipsum|click here|sign up for|subscribe to|log in to|powered by|copyright ©|© ?[0-9]{4}|share on facebook|follow us on|back to top|skip to (?:main )?content",
     re.IGNORECASE,
 )
 NAVIGATION_WORDS = frozenset("home menu login logout register search contact about next previous prev back sitemap faq help share print subscribe archive".split())
-SEPARATORS = re.compile(r"\s[|>»›•·/]\s|\s?[|»›•]\s?")
+SEPARATORS = re.compile(r"[\x20\x09-\x0D][|>»›•·/][\x20\x09-\x0D]|[\x20\x09-\x0D]?[|»›•][\x20\x09-\x0D]?")
 
 
 def line_fails(line: str, words: list[bytes]) -> str | None:
@@ -56,7 +56,7 @@ def line_fails(line: str, words: list[bytes]) -> str | None:
         return "symbols"
     ended = words[-1].decode().endswith(TERMINAL)
     if any(x in line for x in "|>»›•·/"):
-        cells = SEPARATORS.split(line.strip())
+        cells = SEPARATORS.split(line.strip(SPACES))
         if len(cells) >= 3 and n <= 4 * len(cells):
             return "navigation"
     if n <= 3 and not ended and any(w.decode().lower().strip(":|>") in NAVIGATION_WORDS for w in words):
@@ -132,3 +132,28 @@ def quality(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, 500), *(pa.array([g[i] for g in got], k) for i, k in enumerate(kinds))], schema=schema)
 
     return map_batches(text_rows(docs), run, COLUMNS)
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+_SPACE = r"[\x20\x09-\x0D]"
+#: The same counts and verdict in DuckDB.
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+c AS (SELECT r, doc_id, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS n_words, length(regexp_replace(t, {_q(_SPACE)}, '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols FROM d),
+u AS (SELECT r, unnest(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS word, generate_subscripts(regexp_extract_all(t, '[^\x20\x09-\x0D]+'), 1) AS i FROM d),
+k AS (SELECT r, i, CASE WHEN lead(word, {WINDOW - 1}) OVER o IS NOT NULL THEN array_to_string(list(word) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING), ' ') END AS key FROM u WINDOW o AS (PARTITION BY r ORDER BY i)),
+h AS (SELECT r, i, CASE WHEN key IS NOT NULL AND count(*) OVER (PARTITION BY r, key) > 1 THEN 1 ELSE 0 END AS hit FROM k),
+v AS (SELECT r, max(hit) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS covered FROM h),
+p AS (SELECT r, sum(covered) AS n_repeat_words FROM v GROUP BY r),
+l AS (SELECT r, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS inner_line FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d)),
+m AS (SELECT r, line, len(ws) AS n, list_contains([{", ".join(map(_q, TERMINAL))}], right(ws[-1], 1)) AS ended, len(list_filter(ws, lambda w: list_contains([{", ".join(map(_q, sorted(NAVIGATION_WORDS)))}], trim(lower(w), ':|>')))) > 0 AS nav,
+  length(regexp_replace(line, '[^!?]', '', 'g')) AS marks, length(regexp_replace(line, '[^#*$%&<>]', '', 'g')) AS symbols,
+  len(string_split_regex(inner_line, {_q(SEPARATORS.pattern)})) AS cells, regexp_matches(line, {_q("(?i)" + BOILERPLATE.pattern)}) AS boiler, length(regexp_replace(line, {_q(_SPACE)}, '', 'g')) AS chars FROM l WHERE len(ws) > 0),
+f AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines, sum(CASE WHEN marks > {MAX_MARKS} * n + 1 OR symbols > {MAX_SYMBOLS} * n OR (cells >= 3 AND n <= 4 * cells) OR (n <= 3 AND NOT ended AND nav) OR boiler OR (n < {SHORT} AND NOT ended) THEN chars ELSE 0 END) AS lost FROM m GROUP BY r),
+x AS (SELECT doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(lost, 0) AS lost FROM c LEFT JOIN p USING (r) LEFT JOIN f USING (r))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+  n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed, NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AND lost <= {MAX_LOST} * word_chars AS kept FROM x
+"""

@@ -13,8 +13,10 @@ from .decontaminate import find_leaks
 from .language_id import predict_languages
 from .packing import pack_documents
 from .pii import BASE, find_pii, listed, of_kinds
+from .quality import ORACLE as QUALITY_SQL
 from .quality import quality
 from .simhash import simhash_components
+from .substring_dedup import ORACLE as PASSAGES_SQL
 from .substring_dedup import remove_passages
 from .suffix_dedup import remove_repeats
 from .token_files import token_documents
@@ -91,4 +93,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": CHAT_SQL}
+    return {"op1_chat_format": CHAT_SQL, "op8_quality": QUALITY_SQL, "op10_substring_dedup": PASSAGES_SQL}

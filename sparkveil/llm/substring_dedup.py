@@ -208,3 +208,15 @@ def remove_passages(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, 500), *(pa.array(c, schema.field(i + 1).type) for i, c in enumerate(out))], schema=schema)
 
     return map_batches(joined, run, "doc_id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept binary")
+
+
+#: The same rows, as the query returns them, in DuckDB.
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+u AS (SELECT r, doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM d),
+k AS (SELECT r, doc_id, i, word, CASE WHEN doc_id IS NOT NULL AND lead(word, {WIDTH - 1}) OVER (PARTITION BY r ORDER BY i) IS NOT NULL THEN array_to_string(list(word) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND {WIDTH - 1} FOLLOWING), ' ') END AS key FROM u),
+h AS (SELECT r, i, word, CASE WHEN key IS NOT NULL AND min(doc_id) OVER (PARTITION BY key) < doc_id THEN 1 ELSE 0 END AS hit FROM k),
+v AS (SELECT r, i, word, max(hit) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN {WIDTH - 1} PRECEDING AND CURRENT ROW) AS covered FROM h),
+g AS (SELECT r, count(*) AS n_words, sum(covered) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (covered = 0) AS kept FROM v GROUP BY r)
+SELECT doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN g USING (r)
+"""
