@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 from dataclasses import replace
 from datetime import datetime, timezone
@@ -22,19 +23,21 @@ from .sources.sinks import write_run
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="sparkveil")
-    p.add_argument("--input", required=True)
-    p.add_argument("--output", required=True)
-    p.add_argument("--config")
+    p.add_argument("--input", default="./input")
+    p.add_argument("--output", default="./output")
+    p.add_argument("--config", default="config/settings.yaml")
     p.add_argument("--normalise", choices=["auto", "always", "never"])
     p.add_argument("--ner", choices=["heuristic", "gliner"], default="heuristic")
     p.add_argument("--gliner-model", default="urchade/gliner_multi_pii-v1")
     p.add_argument("--gliner-path")
-    p.add_argument("--llm-verify", action="store_true")
+    p.add_argument("--llm-verify", action=argparse.BooleanOptionalAction, default=False)
     p.add_argument("--ollama-url", default="http://localhost:11434")
-    p.add_argument("--ollama-model", default="llama3")
+    p.add_argument("--ollama-model", default="llama3.1:8b")
     p.add_argument("--confidence-threshold", type=float)
-    p.add_argument("--workers", type=int, default=4)
+    p.add_argument("--workers", type=int, default=min(4, os.cpu_count() or 1))
+    p.add_argument("--quiet", action="store_true")
     p.add_argument("--dry-run", action="store_true")
+    p.add_argument("--per-document", action="store_true", help="also write the texts in a folder for each document")
     return p
 
 
@@ -65,8 +68,11 @@ def main(argv: list[str] | None = None) -> int:
     ask = M.ollama_client(args.ollama_url, args.ollama_model) if args.llm_verify else None
     results = process(read_folder(spark, str(folder)), options, args.ner, M.model_path(args.gliner_path, args.gliner_model), ask)
     started = datetime.now(timezone.utc)
-    row = write_run(results, f"{args.output}/run_{started:%Y%m%d_%H%M%S}", config_hash(args.config), f"batch_{started:%Y%m%d_%H%M%S}", args.dry_run).first()
-    print(f"{row['documents_processed']} of {row['documents_total']} documents, {row['total_pii_detected']} spans, {row['documents_failed']} failures")
+    row = write_run(results, f"{args.output}/run_{started:%Y%m%d_%H%M%S}", config_hash(args.config), f"batch_{started:%Y%m%d_%H%M%S}", args.dry_run, started, args.per_document).first()
+    if not args.quiet:
+        print(f"{row['documents_processed']} of {row['documents_total']} documents, {row['total_pii_detected']} spans, {row['documents_failed']} failures, {row['duration_seconds']} s")
+        for kind, n in sorted(row["by_entity_type_total"].items()):
+            print(f"  {kind}: {n}")
     return int(row["documents_failed"] > 0)
 
 

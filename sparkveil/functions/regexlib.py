@@ -76,16 +76,16 @@ def spliced(text: Column, parts: Column, tail: Column) -> Column:
     A stretch is found by counting from a text's start, so each block of parts cuts a text of its own.
     """
 
-    def block(b: Column) -> Column:
+    def block(whole: Column, b: Column) -> Column:
         at, end = b[0]["at"], F.element_at(b, -1)["start"]
-        own = F.substr(text, at + 1, end - at)
+        own = F.substr(whole, at + 1, end - at)
         return let(own, lambda t: F.array_join(F.transform(b, lambda x: F.concat(F.substr(t, x["at"] - at + 1, x["start"] - x["at"]), x["put"])), ""))
 
-    def joined(p: Column) -> Column:
-        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / BLOCK).cast("int")), lambda k: block(F.slice(p, k * BLOCK + 1, F.lit(BLOCK))))
+    def joined(whole: Column, p: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / BLOCK).cast("int")), lambda k: let(F.slice(p, k * BLOCK + 1, F.lit(BLOCK)), lambda b: block(whole, b)))
         return F.when(F.size(p) == 0, "").otherwise(F.array_join(blocks, ""))
 
-    return F.concat(let(parts, joined), F.substr(text, tail + 1))
+    return let(text, lambda whole: F.concat(let(parts, lambda p: joined(whole, p)), F.substr(whole, tail + 1)))
 
 
 def strip(col: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import VERSION
+from ..functions.lexicons import TOKEN_TYPES
 from ..functions.regexlib import let, strip
 
 
@@ -114,8 +115,8 @@ def counts_by_type(detections: DataFrame) -> DataFrame:
     return detections.groupBy("entity_type").agg(F.count("*").alias("n"))
 
 
-def batch_summary(results: DataFrame, batch_id: str = "", config_hash: str = "00000000", started_at: datetime | None = None) -> DataFrame:
-    """AGG-1 to AGG-6 but for lists of documents: one row of counts; lists stay tables of their own (failures, per-document rows)."""
+def batch_summary(results: DataFrame, batch_id: str = "", config_hash: str = "00000000", started_at: datetime | None = None, *more: Column) -> DataFrame:
+    """AGG-1 to AGG-3: one row of counts."""
     good = F.col("error").isNull()
     row = results.agg(
         F.count("*").alias("documents_total"),
@@ -125,10 +126,24 @@ def batch_summary(results: DataFrame, batch_id: str = "", config_hash: str = "00
         F.count_if(good & F.col("was_normalised")).alias("ocr_damaged_count"),
         F.coalesce(F.sum(F.when(good, F.col("low_confidence_count"))), F.lit(0)).alias("low_confidence_review_required"),
         F.coalesce(F.sum(F.when(good, F.col("total_detections"))), F.lit(0)).alias("total_pii_detected"),
+        *more,
     )
     return row.select(F.lit(batch_id).alias("batch_id"), F.lit(started_at).cast("timestamp").alias("started_at"), F.lit(VERSION).alias("pipeline_version"), F.lit(config_hash).alias("config_hash"), *row.columns)
 
 
+def envelope(results: DataFrame, batch_id: str, config_hash: str, started_at: datetime) -> DataFrame:
+    """AGG-4, AGG-6: the summary with the sums by type, the time of its end and its duration, in one pass; failures and per-document rows are tables beside it, as they grow with the batch."""
+    good = F.col("error").isNull()
+    sums = [F.struct(F.lit(t).alias("kind"), F.sum(F.when(good, F.try_element_at("by_entity_type", F.lit(t)))).alias("n")) for t in TOKEN_TYPES]
+    by_type = F.map_from_entries(F.filter(F.array(*sums), lambda x: x["n"] > 0)).alias("by_entity_type_total")
+    finished = F.current_timestamp()
+    return (
+        batch_summary(results, batch_id, config_hash, started_at, by_type)
+        .withColumn("finished_at", finished)
+        .withColumn("duration_seconds", F.round(finished.cast("double") - F.col("started_at").cast("double"), 2))
+    )
+
+
 def failures(results: DataFrame) -> DataFrame:
     return results.filter("error is not null").select(F.col("source_file").alias("file"), "stage", "error")
 

@@ -70,7 +70,7 @@ def dedupe_overlapping(found: Column) -> Column:
         stay = F.flatten(F.transform(parts, lambda x: F.when(F.size(x) == 1, x).otherwise(_widest_first(x))))
         return F.transform(F.array_sort(stay), lambda x: x["s"])
 
-    return F.when(F.size(found) < 2, found).otherwise(let(found, run)).cast(SPAN)
+    return let(found, lambda a: F.when(F.size(a) < 2, a).otherwise(run(a))).cast(SPAN)
 
 
 def assign_tokens(kept: Column) -> Column:
@@ -98,18 +98,18 @@ def assign_tokens(kept: Column) -> Column:
         )
         return F.transform(F.array_sort(made), lambda x: x["x"])
 
-    return F.when(F.size(kept) == 0, F.array()).otherwise(let(kept, run)).cast(TOKENS)
+    return let(kept, lambda a: F.when(F.size(a) == 0, F.array().cast(TOKENS)).otherwise(run(a).cast(TOKENS)))
 
 
 def splice(text: Column, tokens: Column) -> Column:
     """MSK-2: the text with each span replaced by its token; tokens are in descending order of start."""
 
-    def run(t: Column) -> Column:
+    def run(whole: Column, t: Column) -> Column:
         before = F.concat(F.array(F.lit(0)), F.transform(t, lambda x: x["end"]))
         parts = F.zip_with(t, F.slice(before, F.lit(1), F.size(t)), lambda x, at: F.struct(at.alias("at"), x["start"].alias("start"), x["token"].alias("put")))
-        return spliced(text, parts, F.element_at(t, -1)["end"])
+        return spliced(whole, parts, F.element_at(t, -1)["end"])
 
-    return F.when(F.size(tokens) == 0, text).otherwise(let(F.reverse(tokens), run))
+    return let(F.struct(text.alias("text"), F.reverse(tokens).alias("tokens")), lambda x: F.when(F.size(x["tokens"]) == 0, x["text"]).otherwise(run(x["text"], x["tokens"])))
 
 
 def restore(masked: Column, tokens: Column) -> Column:

@@ -1,7 +1,7 @@
 import io
 import zipfile
 
-from sparkveil.cli import main, process
+from sparkveil.cli import main, parser, process
 from sparkveil.config import Options, config_hash
 from sparkveil.sources.documents import docx_text, read_folder
 from sparkveil.sources.sinks import write_run
@@ -37,8 +37,10 @@ def test_folder(spark, tmp_path):
 
 def test_run_and_sinks(spark, tmp_path):
     results = process(read_folder(spark, folder(tmp_path)), Options())
-    row = write_run(results, str(tmp_path / "out")).first()
+    row = write_run(results, str(tmp_path / "out"), per_document_texts=True).first()
     assert (row.documents_total, row.documents_failed) == (3, 1)
+    assert row.by_entity_type_total == {"EMAIL": 1} and row.finished_at >= row.started_at and row.duration_seconds >= 0
+    assert next((tmp_path / "out/documents/anonymised/document=a").glob("part-*")).read_text() == "Mail [EMAIL_1]\nbad \ufffd byte\n"
     assert spark.read.parquet(str(tmp_path / "out/token_map")).first().value == "a@b.com"
     assert spark.read.json(str(tmp_path / "out/failures")).first().stage == "extraction"
 
@@ -47,6 +49,12 @@ def test_cli_bad_input(tmp_path):
     assert main(["--input", str(tmp_path / "none"), "--output", str(tmp_path)]) == 2
 
 
+def test_cli_defaults():
+    args = parser().parse_args([])
+    assert (args.input, args.output, args.ollama_model, args.llm_verify, args.quiet) == ("./input", "./output", "llama3.1:8b", False, False)
+    assert parser().parse_args(["--llm-verify", "--no-llm-verify", "--quiet"]).llm_verify is False and 1 <= args.workers <= 4
+
+
 def test_config(tmp_path):
     assert config_hash(None) == "00000000" and Options.load(None) == Options()
     (tmp_path / "c.yaml").write_text("options:\n  normalise: never\n")
