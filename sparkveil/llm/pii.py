@@ -3,8 +3,9 @@
 Regular expressions propose spans, validators confirm them (Luhn for cards, modulo 97 for
 IBANs, ranges for addresses, digit counts for phones), and words near a candidate adjust its
 score.  The base kinds (email, ip, card, phone) always count; the method adds the kinds
-``iban`` (modulo 97 decides) and ``ssn`` (a bare pattern that counts only with a context word
-within ``NEAR`` characters before it).
+``iban`` (modulo 97 decides; where groups of capitals follow, the longest valid start counts), ``ssn``
+and ``secret`` (keys and tokens: a long run of letters and digits), bare patterns that count only
+with a context word within ``NEAR`` characters before them.
 
 Spans count code points, the end exclusive.  Patterns are possessive or start at a run's edge,
 so no text makes them backtrack far.  ``\\G`` lets a match begin where the last one ended.
@@ -35,10 +36,11 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "secret": r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}+",
 }
 BASE = ("email", "ip", "card", "phone")
 #: Cheap tests that a text must pass for a kind's pattern to be run at all.
-GATES = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]", "iban": r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}", "ssn": r"[0-9]-[0-9]{2}-[0-9]"}
+GATES = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]", "iban": r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}", "ssn": r"[0-9]-[0-9]{2}-[0-9]", "secret": r"(?i)(?:token|secret|key|passw|credential|bearer)"}
 #: kind -> (prior of a validated candidate, context words, what a near context word adds).
 SCORES = {
     "email": (1.0, "", 0.0),
@@ -47,6 +49,7 @@ SCORES = {
     "phone": (1.0, "", 0.0),
     "iban": (0.8, r"iban|account|konto|cuenta|compte|bank", 0.2),
     "ssn": (0.3, r"ssn|social security|sozialversicherung|seguridad social|sécurité sociale|tax id|social", 0.5),
+    "secret": (0.3, r"token|secret|api[ _-]?key|access[ _-]?key|private[ _-]?key|passw|credential|bearer", 0.5),
 }
 
 
@@ -83,26 +86,39 @@ def valid(kind: str, value: Column) -> Column:
         return F.length(digits(value)).between(8, 15)
     if kind == "iban":
         return mod97(value)
+    if kind == "secret":  # letters and digits mixed, as no word or number has them
+        return (F.length(F.regexp_replace(value, r"[^0-9]", "")) >= 4) & (F.length(F.regexp_replace(value, r"[^A-Za-z]", "")) >= 4)
     return F.lit(True)
 
 
+def shortened(kind: str, value: Column) -> Column:
+    """The part of a candidate that counts: of an IBAN the longest valid start in whole groups, if the whole is none."""
+    if kind != "iban":
+        return value
+    groups = F.split(value, r"\x20")
+    starts = let(groups, lambda g: F.transform(F.sequence(F.size(g), F.lit(1)), lambda n: F.array_join(F.slice(g, F.lit(1), n), " ")))
+    return F.coalesce(F.try_element_at(F.filter(starts, mod97), F.lit(1)), value)
+
+
 def spans_of(text: Column, kind: str) -> Column:
     """array<struct<kind, start, end, score>> of the confirmed spans of a kind, in order of start."""
     pattern, (prior, words, gain) = F.lit(PATTERNS[kind]), SCORES[kind]
     kind_type = "array<struct<kind:string,start:int,end:int,score:double>>"
 
     def placed(p: Column) -> Column:
-        """The confirmed ones of matches (m, after the text g) with their places."""
+        """The confirmed ones of matches (m, after the text g and the match last) with their places."""
         at = running(F.transform(p, lambda y: F.length(y["g"]) + F.length(y["m"])))
-        whole = F.zip_with(p, at, lambda y, n: F.struct(y["m"].alias("m"), y["g"].alias("g"), (n + F.length(y["g"])).cast("int").alias("start")))
+        whole = F.zip_with(p, at, lambda y, n: F.struct(shortened(kind, y["m"]).alias("m"), F.concat(y["last"], y["g"]).alias("ahead"), (n + F.length(y["g"])).cast("int").alias("start")))
         return F.transform(
             F.filter(whole, lambda y: valid(kind, y["m"])),
-            lambda y: F.struct(y["start"].alias("start"), (y["start"] + F.length(y["m"])).alias("end"), (F.lower(F.right(y["g"], F.lit(NEAR))) if words else F.lit("")).alias("before")),
+            lambda y: F.struct(y["start"].alias("start"), (y["start"] + F.length(y["m"])).alias("end"), (F.lower(F.right(y["ahead"], F.lit(NEAR))) if words else F.lit("")).alias("before")),
         )
 
     def located(x: Column) -> Column:
         """Candidates with their places: the texts between matches give the offsets."""
-        return let(F.zip_with(x["m"], F.slice(x["g"], 1, F.size(x["m"])), lambda m, g: F.struct(m.alias("m"), g.alias("g"))), placed)
+        last = F.concat(F.array(F.lit("")), x["m"])  # context may reach over the match before
+        pairs = F.zip_with(x["m"], F.slice(x["g"], 1, F.size(x["m"])), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
+        return let(F.zip_with(pairs, F.slice(last, 1, F.size(x["m"])), lambda y, b: F.struct(y["m"].alias("m"), y["g"].alias("g"), b.alias("last"))), placed)
 
     def scored(s: Column) -> Column:
         score = F.lit(prior) if not words else F.lit(prior) + F.when(s["before"].rlike(words), gain).otherwise(0.0)
@@ -140,10 +156,10 @@ def of_kinds(spans: Column, kinds: tuple[str, ...]) -> Column:
 def redact(text: Column, spans: Column) -> Column:
     """The text with each stretch of spans replaced by ``[KIND]`` of its first span; overlapping spans become one."""
 
-    def stretches(k: Column) -> Column:
+    def stretches(whole: Column, k: Column) -> Column:
         reach = running(F.transform(k, lambda x: x["end"]), maximum=True)
         firsts = F.zip_with(k, reach, lambda x, m: F.when(x["start"] >= m, F.struct(m.cast("int").alias("at"), x["start"].alias("start"), F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")).alias("put"))))
-        return spliced(text, F.filter(firsts, lambda x: x.isNotNull()), F.array_max(F.transform(k, lambda x: x["end"])))
+        return spliced(whole, F.filter(firsts, lambda x: x.isNotNull()), F.array_max(F.transform(k, lambda x: x["end"])))
 
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    return F.when(F.size(spans) == 0, text).otherwise(let(ordered, stretches))
+    return let(F.struct(text.alias("text"), ordered.alias("spans")), lambda x: F.when(F.size(x["spans"]) == 0, x["text"]).otherwise(stretches(x["text"], x["spans"])))

@@ -12,7 +12,7 @@ from .chat_format import formatted_digest
 from .decontaminate import find_leaks
 from .language_id import predict_languages
 from .packing import pack_documents
-from .pii import BASE, find_pii, listed, of_kinds
+from .pii import BASE, PATTERNS, find_pii, listed, of_kinds
 from .quality import ORACLE as QUALITY_SQL
 from .quality import quality
 from .simhash import simhash_components
@@ -61,7 +61,8 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = find_pii(table(spark, sf_dir, "documents")).select("doc_id", "spans")
     counts = [F.size(of_kinds(F.col("spans"), (kind,))).cast("long").alias(f"n_{kind}") for kind in BASE]
-    return got.select("doc_id", *counts, F.sha2(listed(of_kinds(F.col("spans"), BASE)), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    more = [F.size(of_kinds(F.col("spans"), (kind,))).cast("long").alias(f"n_{kind}") for kind in PATTERNS if kind not in BASE]
+    return got.select("doc_id", *counts, F.sha2(listed(of_kinds(F.col("spans"), BASE)), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), *more)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -135,7 +135,9 @@ def roots(n, pairs):
     return [find(i) for i in range(n)]
 
 
-def test_simhash(spark):
+@pytest.mark.parametrize("long", [4096, 3])
+def test_simhash(spark, monkeypatch, long):
+    monkeypatch.setattr(SH, "LIST", long)
     rng = random.Random(4)
     base = words(rng, 400, [f"w{i}" for i in range(300)])
     texts = [*ODD, *ODD]
@@ -154,7 +156,7 @@ def test_simhash(spark):
 def test_long_lists_link_as_short_ones_do():
     rng = np.random.default_rng(5)
     fps = np.unique(rng.integers(0, 1 << 16, 700, dtype=np.uint64) << np.uint64(24))
-    u, v = SH.links(fps, 2)
+    u, v = (fps[x] for x in SH.links(fps, 2))
     i, j = np.triu_indices(len(fps), 1)
     ok = SH.bits(fps[i] ^ fps[j]) <= 2
     assert sorted(zip(u.tolist(), v.tolist(), strict=True)) == sorted(zip(fps[i[ok]].tolist(), fps[j[ok]].tolist(), strict=True))
@@ -175,9 +177,12 @@ def test_decontamination(spark):
     edited = items[1].split()
     edited[7], edited[20] = "other", "changed"
     texts = [words(rng, 200, bag) + " " + items[0].upper() + " " + words(rng, 50, bag), words(rng, 40, bag) + " " + " ".join(edited), words(rng, 300, bag), None, "", *[items[2]] * 40]
-    bench = spark.createDataFrame([(i, t, 1) for i, t in enumerate([*items, None, "too short"])], "item_id long, text string, doc_id int")
+    texts += ["before a Short item, after", "another text of this item stands here too"]
+    more = [(12, None), (13, "short item"), (14, "?!"), (13, "another text of this item"), (13, "short item")]  # one item of several texts
+    bench = spark.createDataFrame([(i, t, 1) for i, t in [*enumerate(items), *more]], "item_id long, text string, doc_id int")
     got = {(r.doc_id, r.item_id): r for r in DC.find_leaks(docs(spark, texts), bench).collect()}
-    assert set(got) == {(0, 0), (1, 1), *((i, 2) for i in range(5, 45))}
+    assert set(got) == {(0, 0), (1, 1), *((i, 2) for i in range(5, 45)), (45, 13), (46, 13)}
+    assert (got[45, 13].start, got[45, 13].end) == (2, 4) and (got[46, 13].start, got[46, 13].end) == (0, 5)
     assert (got[0, 0].score, got[0, 0].start, got[0, 0].end) == (1.0, 200, 230) and 0.8 < got[1, 1].score < 1
     assert DC.find_leaks(docs(spark, []), bench).count() == 0 and DC.find_leaks(docs(spark, texts), bench.limit(0)).count() == 0
 
@@ -341,6 +346,10 @@ def test_pii(spark):
         expected = [(k, m.start(), m.end()) for k, p, ok in BASE for m in re.finditer(p, t or "") if ok(m.group())]
         assert [(s.kind, s.start, s.end) for s in got[i] if s.kind in pii.BASE] == expected
     more = docs(spark, ["IBAN DE89 3704 0044 0532 0130 00 ok DE89 3704 0044 0532 0130 01", "SSN: 123-45-6789", "part 123-45-6789", "mail a@b.cd now"])
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    kept = [f'token = "{key}" x', f"checksum {key}", "a token " + "w" * 30, "IBAN DE89 3704 0044 0532 0130 00 BANK", f"keys: api key {key}, {key}"]
+    out = pii.find_pii(docs(spark, kept)).select(pii.redact(F.col("text"), F.col("spans"))).collect()
+    assert [r[0] for r in out] == ['token = "[SECRET]" x', kept[1], kept[2], "IBAN [IBAN] BANK", "keys: api key [SECRET], " + key]
     rows = pii.find_pii(more).withColumn("out", pii.redact(F.col("text"), F.col("spans"))).orderBy("doc_id").collect()
     assert [r.out for r in rows][1:] == ["SSN: [SSN]", "part 123-45-6789", "mail [EMAIL] now"] and rows[0].out.startswith("IBAN [IBAN] ok DE89")
 
