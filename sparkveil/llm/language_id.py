@@ -11,7 +11,9 @@ without running the recursion.
 
 Defined cases: null text, or a text without a letter, is ``und`` with score 0 and no spans; a
 text of letters always gets a learned language; with no training rows every text is ``und``;
-ties go to the language that sorts first; other columns are ignored.
+ties go to the language that sorts first; rows with the same doc_id, null or not, keep a row each;
+a text may be as long as a row can be, its words are looked up together; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,13 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Rolling, map_batches
+from .common import Rolling, map_batches, materialise
 
 BUCKETS = 1 << 16
 #: Labelled rows of each language that training may use on average (the documented bound of the sample).
 TRAIN_ROWS = 4000
+#: Languages that a model may have, a quarter of a megabyte each: more labels are an error, none is left out.
+MAX_LANGUAGES = 512
 SWITCH = 12.0
-CACHE_WORDS = 400_000
+#: Words whose scores a task keeps: bounds its memory, not the result.
+CACHE_WORDS = 150_000
 #: First code point of each Unicode range that counts as one script.
 SCRIPTS = [
     (0x0000, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"),
@@ -106,8 +111,11 @@ class Model:
 def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """Learn from rows with text and lang; a language with more rows than the bound gives a hashed sample of about that many."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    share = rows.groupBy("lang").agg(F.count("*").alias("n")).select("lang", (F.lit(float(train_rows)) / F.col("n") * 1_000_000).alias("keep"))
-    sample = rows.join(share, "lang").filter(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit("sample")), F.lit(1_000_000)) < F.col("keep")).select("lang", "text")
+    share = materialise(rows.groupBy("lang").agg(F.count("*").alias("n")).select("lang", (F.lit(float(train_rows)) / F.col("n") * 1_000_000).alias("keep")))
+    if (languages := share.count()) > MAX_LANGUAGES:
+        raise ValueError(f"{languages} labels, a model holds {MAX_LANGUAGES}")
+    # a row for each language, their number is checked: texts are sampled where they are read
+    sample = rows.join(F.broadcast(share), "lang").filter(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit("sample")), F.lit(1_000_000)) < F.col("keep")).select("lang", "text")
     schema = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
