@@ -125,6 +125,8 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 words.setdefault(lang, Counter()).update(text.split())
             for lang, found in words.items():
+                if not found:
+                    continue
                 sums = total.setdefault(lang, np.zeros(BUCKETS + len(NAMES), np.int64))
                 letters = Letters([*found])
                 weight = np.fromiter(found.values(), np.int64, len(found))
