@@ -116,19 +116,23 @@ def quoted(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
 
 
+def tests_sql(words: list[str] = (), regex: str | None = None) -> str:
+    """The test of ``holds`` as SQL over a lower-case text ``l``; ``odd`` says whether it has a sign of ODD_CASE."""
+    return " or ".join([f"contains(l, {quoted(w)})" for w in words] + ([f"l rlike {quoted(regex)}"] if regex else []) + ["odd"])
+
+
 def holds_sql(text: str, words: list[str] = (), regex: str | None = None) -> str:
     """``holds`` as SQL over a column."""
-    tests = [f"contains(l, {quoted(w)})" for w in words] + ([f"l rlike {quoted(regex)}"] if regex else []) + [f"l rlike {quoted(ODD_CASE)}"]
-    return f"exists(array(lower({text})), l -> {' or '.join(tests)})"
+    return f"exists(array(lower({text})), l -> exists(array(l rlike {quoted(ODD_CASE)}), odd -> {tests_sql(words, regex)}))"
 
 
 def spans_sql(text: str, p: str, made: str, kind: str, value: str = "v", keep: str = "true", gate: str = "true") -> str:
     """``spans`` as SQL over a column; made is the struct of a span (of array type kind) by its text ``r``, ``b`` and ``e``.
 
-    value maps a match ``v`` to the reported text ``r``, keep filters by ``r``.  A plan of many
-    patterns is quicker to build as text than operation by operation.
+    p is an expression that gives the pattern; value maps a match ``v`` to the reported text ``r``,
+    keep filters by ``r``.  A plan is quicker to build as text than operation by operation.
     """
-    p, none = quoted(p), f"cast(array() as {kind})"
+    none = f"cast(array() as {kind})"
     kept = f"flatten(transform(transform(array(y.m), v -> {value}), r -> if({keep}, array({made}), array())))"
     found = f"flatten(transform(array(int(y.at + length(y.g))), b -> flatten(transform(array(b + length(y.m)), e -> {kept}))))"
     # the texts between matches give the offsets; they are cut only where there are matches

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Options
 from ..functions import lexicons as L
-from ..functions.regexlib import alternation, holds_sql, pattern, quoted, spans_sql, strip
+from ..functions.regexlib import ODD_CASE, alternation, holds_sql, pattern, quoted, spans_sql, strip, tests_sql
 
 SPAN = "array<struct<entity_type:string,text:string,start:int,end:int,layer:string,confidence:double>>"
 
@@ -24,7 +24,19 @@ def found(text: Column | str, p: str, entity_type: str, layer: str, confidence:
     """Matches of a pattern as spans of a type and layer."""
     score = "cast(null as double)" if confidence is None else f"cast({confidence} as double)"
     made = f"named_struct('entity_type', '{entity_type}', 'text', r, 'start', b, 'end', e, 'layer', '{layer}', 'confidence', {score})"
-    return F.expr(spans_sql(name_of(text), p, made, SPAN, **more))
+    return F.expr(spans_sql(name_of(text), quoted(p), made, SPAN, **more))
+
+
+def found_by(text: Column | str, rows: list[tuple[str, str, str]], layer: str, confidence: float | None, **more) -> Column:
+    """Spans of many patterns, pattern after pattern, by one expression over a table of (pattern, type, cheap test of the lower-case text l).
+
+    The plan holds the expression once, whatever the number of patterns, and the lower case is made once.
+    """
+    score = "cast(null as double)" if confidence is None else f"cast({confidence} as double)"
+    made = f"named_struct('entity_type', z.t, 'text', r, 'start', b, 'end', e, 'layer', '{layer}', 'confidence', {score})"
+    table = ", ".join(f"named_struct('p', {quoted(p)}, 't', '{t}', 'ok', {test})" for p, t, test in rows)
+    passed = f"flatten(transform(array(lower({name_of(text)})), l -> flatten(transform(array(l rlike {quoted(ODD_CASE)}), odd -> filter(array({table}), z -> z.ok)))))"
+    return F.expr(f"flatten(transform({passed}, z -> {spans_sql(name_of(text), 'z.p', made, SPAN, **more)}))")
 
 
 def words_sql(words: list[str]) -> str:
@@ -32,13 +44,9 @@ def words_sql(words: list[str]) -> str:
 
 
 def by_patterns(text: Column, patterns: dict[str, list[str]], layer: str, types=None) -> list[Column]:
-    """One array for each pattern, in order."""
-    return [
-        found(text, pattern(p, ignore_case=True), t, layer, 0.99, gate=holds_sql(name_of(text), *gate))
-        for t, ps in patterns.items()
-        if types is None or t in types
-        for p, gate in zip(ps, L.GATES[t], strict=True)
-    ]
+    """The spans of all patterns, in order."""
+    rows = [(pattern(p, ignore_case=True), t, tests_sql(*gate)) for t, ps in patterns.items() if types is None or t in types for p, gate in zip(ps, L.GATES[t], strict=True)]
+    return [found_by(text, rows, layer, 0.99)]
 
 
 def l1(text: Column, options: Options = Options(), types=None) -> list[Column]:
@@ -74,10 +82,8 @@ def persons(text: Column) -> Column:
 def organisations_by_suffix(text: Column, options: Options = Options()) -> list[Column]:
     """DET-11; a suffix may end inside a word unless ``strict_suffix`` asks for its end."""
     end = r"(?!\w)" if options.strict_suffix else ""
-    return [
-        found(text, pattern(L.ORG_BEFORE_SUFFIX + s + end, ignore_case=True), "ORG", "L2_ner", None, value=STRIP, gate=holds_sql(name_of(text), [], rf"[\s\x1c-\x1f\P{{ASCII}}]{s.lower()}"))
-        for s in L.ORG_SUFFIXES
-    ]
+    rows = [(pattern(L.ORG_BEFORE_SUFFIX + s + end, ignore_case=True), "ORG", tests_sql([], rf"[\s\x1c-\x1f\P{{ASCII}}]{s.lower()}")) for s in L.ORG_SUFFIXES]
+    return [found_by(text, rows, "L2_ner", None, value=STRIP)]
 
 
 def organisations_by_keyword(text: Column) -> Column:
@@ -92,7 +98,8 @@ def organisations_by_keyword(text: Column) -> Column:
 def education(text: Column) -> list[Column]:
     """DET-13: values over eight signs, right-trimmed of separators."""
     value = f"regexp_replace({STRIP}, {quoted('[,|—-]+$')}, '')"
-    return [found(text, pattern(L.EDUCATION.format(keyword=k), ignore_case=True), "ORG", "L2_ner", None, value=value, keep="length(r) > 8", gate=holds_sql(name_of(text), [k])) for k in L.EDUCATION_KEYWORDS]
+    rows = [(pattern(L.EDUCATION.format(keyword=k), ignore_case=True), "ORG", tests_sql([k])) for k in L.EDUCATION_KEYWORDS]
+    return [found_by(text, rows, "L2_ner", None, value=value, keep="length(r) > 8")]
 
 
 def heuristic(text: Column, options: Options = Options()) -> list[Column]:
