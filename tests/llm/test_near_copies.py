@@ -2,7 +2,7 @@
 
 import random
 
-import numpy as np
+import pytest
 
 from sparkveil.llm import near_copies as N
 
@@ -69,7 +69,29 @@ def test_same_words_in_another_order_stay(spark):
     assert corpus_pipeline.near_duplicate_stage(spark, df, "").count() == 10
 
 
-def test_components_follow_every_link():
-    sets = [np.arange(k, k + 100, dtype=np.uint64) for k in range(0, 60, 10)]  # neighbours at 90 of 110, others below
-    sets += [np.arange(500, 600, dtype=np.uint64), np.arange(512, 612, dtype=np.uint64)]  # 88 of 112
-    assert N.similar_components([sets[k] for k in (5, 0, 6, 3, 1, 7, 4, 2)]).tolist() == [0, 0, 2, 0, 0, 5, 0, 0]
+def test_components_follow_every_link(spark):
+    spans = [(k, k + 100) for k in range(0, 60, 10)]  # neighbours at 90 of 110 shingles, others below
+    spans += [(500, 600), (512, 612)]  # 88 of 112
+    texts = [" ".join(f"w{x}" for x in range(spans[k][0], spans[k][1] + 4)) for k in (5, 0, 6, 3, 1, 7, 4, 2)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    root = {r.row: r.root for r in N.near_copies(rows).collect()}
+    assert [min(y for y in root if root[y] == root[x]) for x in range(8)] == [0, 0, 2, 0, 0, 5, 0, 0]
+
+
+@pytest.mark.parametrize(("bucket", "levels"), [(4, 3), (4, 0), (3, 1)])
+def test_large_buckets_are_split(spark, monkeypatch, bucket, levels):
+    """Buckets beyond the bound are split by further bands and at last into pairs of blocks, without losing a link."""
+    monkeypatch.setattr(N, "BUCKET", bucket)
+    monkeypatch.setattr(N, "LEVELS", levels)
+    monkeypatch.setattr(N, "SALT", 2)
+    rng = random.Random(19)
+    bag = [f"w{i}" for i in range(3000)]
+    common = rng.choices(bag, k=80)
+    texts = []
+    for _ in range(12):  # half of every text is common to all: 0.3 to 0.5 between texts, 0.7 to 0.95 between copies
+        own = rng.choices(bag, k=60)
+        texts += [" ".join(common + [rng.choice(bag) if rng.random() < share else x for x in own]) for share in (0, 0.02, 0.05, 0.1)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    root = {r.row: r.root for r in N.near_copies(rows).collect()}
+    stay = {min(y for y in root if root[y] == root[x]) for x in root}
+    assert stay == brute_force(texts)
