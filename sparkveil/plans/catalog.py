@@ -326,7 +326,6 @@ def oracle_sql() -> dict[str, str]:
     out["sanitise_persons"] = _masked(_subs("text", [(S.TITLED_PERSON.replace(r"[^\S\n]", "[ \\t]"), "[PERSON]"), ("(?i)\\bMark Andrews\\b", "[PERSON]")]))
     out["sanitise_training"] = _masked(_subs("text", [("(?i)\\bUdemy\\b", "[TRAINING_PROVIDER]"), ("(?i)" + S.HIGH_SCHOOL, "[UNIVERSITY]"), (S.QUOTED_LABEL, "\\1")]))
     out["sanitise_cleanup"] = _masked(_subs("text", [("(?m)" + p, t) for p, t in S.CLEANUP]))
-    out["sanitise_org_by_section"] = "SELECT c_custkey AS cv_id, CASE c_custkey % 4 WHEN 1 THEN '[UNIVERSITY]' WHEN 2 THEN '[TRAINING_PROVIDER]' ELSE '[COMPANY]' END AS label FROM customer"
 
     def holds(words: list[str]) -> str:
         return "(" + " OR ".join(f"contains(l, {_q(w)})" for w in words) + ")"

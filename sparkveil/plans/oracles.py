@@ -9,7 +9,8 @@ from __future__ import annotations
 from ..functions import lexicons as L
 from ..functions.regexlib import alternation
 from ..operators import normalise as N
-from .synthetic import CVS
+from ..operators import sanitise as S
+from .synthetic import CVS, MASKED
 
 
 def q(s: str) -> str:
@@ -105,6 +106,8 @@ f AS (SELECT cv_id, len(list_filter(ws, lambda x: regexp_full_match(x, '[A-Za-z]
 z AS (SELECT count(*) AS total, count(*) FILTER (score < 0.85) AS low FROM found)
 SELECT '' AS batch_id, '1.0.0' AS pipeline_version, '00000000' AS config_hash, count(*) AS documents_total, count(*) AS documents_processed, CAST(0 AS BIGINT) AS documents_failed, CAST(1.0 AS DOUBLE) AS average_extraction_quality,
 count(*) FILTER (damaged) AS ocr_damaged_count, CAST((SELECT low FROM z) AS BIGINT) AS low_confidence_review_required, CAST((SELECT total FROM z) AS BIGINT) AS total_pii_detected FROM f""",
+        "sanitise_all": sanitised_sql(),
+        "sanitise_org_by_section": section_sql(),
         "detect_education": f"WITH cvs AS ({CVS}) SELECT cv_id, entity_type, text FROM ({candidates('cvs')}) WHERE pat BETWEEN {_education()[0]} AND {_education()[1]}",
     }
 
@@ -121,6 +124,50 @@ SELECT category, count(*) AS expected_items, count(*) FILTER (hit) AS found_item
 """
 
 
+def _steps(column: str, steps: list[tuple[str, str, str]]) -> str:
+    """Successive rewrites (flags, pattern, replacement with $ groups)."""
+    return subs(column, [(f"(?{flags})" + p if flags else p, to.replace("$", "\\")) for flags, p, to in steps])
+
+
+def _section(text: str) -> str:
+    """The header line of a text that has one, lower case."""
+    return f"lower(regexp_extract({text}, {q('(?im)^[ ' + chr(92) + 't]*(' + L.SECTION_HEADER + ')[ ' + chr(92) + 't]*$')}, 1))"
+
+
+def _label() -> str:
+    """The kind of organisation below a header h."""
+    education, courses = (", ".join(map(q, words)) for words in (L.EDUCATION_SECTIONS, L.TRAINING_SECTIONS))
+    return f"CASE WHEN h IN ({education}) THEN '[UNIVERSITY]' WHEN h IN ({courses}) THEN '[TRAINING_PROVIDER]' ELSE '[COMPANY]' END"
+
+
+def section_sql() -> str:
+    return f"WITH m AS ({MASKED}), t AS (SELECT cv_id, {_section('text')} AS h FROM m) SELECT cv_id, {_label()} AS label FROM t"
+
+
+def sanitised_sql() -> str:
+    """The sanitiser over the made masked texts: an organisation's label follows from the header line before it."""
+    labels = subs("text", [("(?i)" + p, "") for p in L.FIELD_LABELS])
+    repaired = labels
+    for old, new in sorted(L.SUFFIX_REPAIR.items(), key=lambda x: -len(x[0])):
+        repaired = f"regexp_replace({repaired}, {q(S.TOKEN + old + '([^a-z]|$)')}, {q(new + chr(92) + '1')}, 'g')"
+    tokens = subs("a", [(rf"\[(?:{'|'.join(L.REMOVED_TYPES)})_\d+\]", ""), (r"\[URL_\d+\]", "[URL]"), (r"\[LOCATION_\d+\]", "[LOCATION]")])
+    after = [
+        ("", S.LABEL + r"red([^a-z0-9]|$)", "shared$1"), ("", S.LABEL + r"([a-z][a-z0-9]*)", "$1"),
+        ("m", r"\bAddress\s+([A-Z0-9\[][^\n]{5,})", "Address [ADDRESS_REDACTED]"), ("m", S.BARE_ADDRESS, ""),
+        ("", rf"\b{alternation(L.PLACES)}\b", "[LOCATION]"), ("i", rf"\b{alternation(L.EMPLOYERS, longest_first=False)}\b", "[COMPANY]"),
+        ("", S.TITLED_PERSON.replace(r"[^\S\n]", "[ \\t]"), "[PERSON]"), *(("i", rf"\b{alternation([n])}\b", "[PERSON]") for n in L.PERSONS),
+        ("i", rf"\b{alternation(L.TRAINING_PLATFORMS)}\b", "[TRAINING_PROVIDER]"), ("i", S.HIGH_SCHOOL, "[UNIVERSITY]"), ("", S.QUOTED_LABEL, "$1"),
+        ("im", *S.MASTERS), ("im", *S.BACHELOR), ("", r"—\s*-\s*", "— "), ("i", r"\s*-\s*PROFILE:\s*", ", "), ("m", *S.DATE_LINE), ("m", *S.DATE_UNIVERSITY_LINE),
+        ("i", *S.INSTITUTION), ("i", *S.GRADUATED), ("i", *S.OWN_LINE), *(("m", *c) for c in S.CLEANUP),
+    ]
+    return f"""
+WITH m AS ({MASKED}), r AS (SELECT cv_id, {repaired} AS a FROM m),
+t AS (SELECT cv_id, {tokens} AS b, {_section("a")} AS h FROM r),
+o AS (SELECT cv_id, regexp_replace(b, '\\[ORG_\\d+\\]', {_label()}, 'g') AS c FROM t)
+SELECT cv_id, {_steps("c", after)} AS sanitised FROM o
+"""
+
+
 def _education() -> tuple[int, int]:
     """Numbers of the first and the last education pattern."""
     numbers = [k for k, r in enumerate(recognisers()) if r[4] == 1 and r[1] == "L2_ner"]
