@@ -9,7 +9,8 @@ vocabularies whatever surrounds them (tests compare with whole-text encoding):
 * word-end: at any space or line feed;
 * both: between letters and one mark of ``.,!?;:`` that ends the piece.
 
-Texts with anything rarer (runs of white space, special-token strings) are encoded whole.
+Texts with anything rarer (runs of white space, special-token strings) are encoded whole.  New
+words are encoded many at a time, as one text that is cut at the same places again.
 """
 
 from __future__ import annotations
@@ -17,9 +18,15 @@ from __future__ import annotations
 import os
 from array import array
 
+import numpy as np
+
 MARKS = frozenset(".,!?;:")
 #: Entries of each of the two generations of a worker's cache; bounds its memory, not the result.
 CACHE_WORDS = 150_000
+#: New words that are encoded as one text, and such texts at a time.
+JOINED, TEXTS = 500, 50
+#: Stands between joined words of a word-end vocabulary: one byte that is a piece of its own between spaces.
+MARK = "\x01"
 
 
 class WordEncoder:
@@ -29,11 +36,17 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.keeps_spaces = keeps_spaces
-        self.space = " " if keeps_spaces else ""
-        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        vocab = self.tokenizer.get_vocab()
+        self.code = "H" if len(vocab) <= 1 << 16 else "I"
         self.dtype = "<u2" if self.code == "H" else "<u4"
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        #: Ids of a piece that follows a space; None where the text must be encoded whole.
+        #: Whether an id tells joined words apart: it begins with a space or line feed, or is the mark between them.
+        self.parts = np.zeros(max(vocab.values()) + 1, bool)
+        if keeps_spaces:
+            self.parts[[k for token, k in vocab.items() if token[0] in "ĠĊ"]] = True
+        else:
+            self.parts[self.tokenizer.encode(MARK, add_special_tokens=False).ids] = True
+        #: Ids of a piece that follows a space or begins with its line feed; None where the text must be encoded whole.
         self.cache: dict[str, bytes | None] = {}
         self.old: dict[str, bytes | None] = {}
         self.marks = {m: self.whole(m) for m in sorted(MARKS)}
@@ -41,10 +54,31 @@ class WordEncoder:
     def whole(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _ids(self, strings: list[str]) -> list[bytes]:
-        out, code = [], self.code
-        for k in range(0, len(strings), 20_000):
-            out += [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(strings[k : k + 20_000], add_special_tokens=False)]
+    def _join(self, words: list[str]) -> str:
+        if self.keeps_spaces:
+            return "".join([w if w[0] == "\n" else " " + w for w in words])
+        return f" {MARK} ".join(words)
+
+    def _split(self, words: list[str], ids: list[int]) -> list[bytes]:
+        """The ids of each of the joined words."""
+        flat = np.array(ids, self.dtype)
+        at = np.flatnonzero(self.parts[flat])
+        if self.keeps_spaces:
+            first, last = at, np.append(at[1:], len(flat))
+        else:
+            first, last = np.append(0, at + 1), np.append(at, len(flat))
+        if len(first) != len(words) or first[0]:  # a word holds the mark
+            return [self.whole(self._join([w])) for w in words]
+        size, data = flat.itemsize, flat.tobytes()
+        return [data[a:b] for a, b in zip((first * size).tolist(), (last * size).tolist(), strict=True)]
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for k in range(0, len(words), JOINED * TEXTS):
+            runs = [words[a : a + JOINED] for a in range(k, min(len(words), k + JOINED * TEXTS), JOINED)]
+            coded = self.tokenizer.encode_batch_fast([self._join(run) for run in runs], add_special_tokens=False)
+            for run, e in zip(runs, coded, strict=True):
+                out += self._split(run, e.ids)
         return out
 
     @staticmethod
@@ -53,82 +87,56 @@ class WordEncoder:
         stem = piece[:-1]
         return stem if piece[-1:] in MARKS and stem.isalpha() and stem.lower().isalpha() else None
 
-    def _parts(self, piece: str, spaced: bool) -> list[str] | None:
-        """Strings whose ids make up those of a piece with white space or other characters; None: not safe to cut."""
-        if not self.keeps_spaces:
-            return [piece]
-        lines = piece.split("\n")
-        if any(len(x.split()) != 1 or x[0].isspace() or x[-1].isspace() for x in lines):
-            return None
-        out: list[str] = []
-        for k, x in enumerate(lines):
-            if k:
-                out.append("\n")
-            stem = self._stem(x)
-            head = " " if spaced and not k else ""
-            out += [head + x] if stem is None else [head + stem, x[-1]]
-        return out
-
     def _add(self, new: set[str]) -> None:
-        cache, old, space = self.cache, self.old, self.space
-        letters, marked, others, stems = [], [], [], []
+        cache, old = self.cache, self.old
+        need, marked = set(), []
         for w in new:
             if w in old:
                 cache[w] = old[w]
             elif w.isalpha():
-                letters.append(w)
+                need.add(w)
             elif (stem := self._stem(w)) is not None:
                 marked.append(w)
-                stems.append(stem)
+                if stem in old:
+                    cache[stem] = old[stem]
+                elif stem not in cache:
+                    need.add(stem)
+            elif not self.keeps_spaces or w.split() == [w[1:] if w[:1] == "\n" else w]:
+                need.add(w)
             else:
-                others.append(w)
-        need = [*{*letters, *(s for s in stems if s not in cache)}]
-        cache.update(zip(need, self._ids([space + w for w in need]), strict=True))
+                cache[w] = None
+        words = [*need]
+        cache.update(zip(words, self._ids(words), strict=True))
         for w in marked:
             cache[w] = cache[w[:-1]] + self.marks[w[-1]]
-        cut = {w: self._parts(w, True) for w in others}
-        strings = [*{p for parts in cut.values() if parts for p in parts}]
-        ids = dict(zip(strings, self._ids(strings), strict=True))
-        for w, parts in cut.items():
-            cache[w] = None if parts is None else b"".join([ids[p] for p in parts])
-
-    def _heads(self, heads: set[str]) -> dict[str, bytes | None]:
-        """Ids of the pieces that begin a text."""
-        cut = {h: self._parts(h, False) for h in heads}
-        strings = [*{p for parts in cut.values() if parts for p in parts}]
-        ids = dict(zip(strings, self._ids(strings), strict=True))
-        return {h: None if parts is None else b"".join([ids[p] for p in parts]) for h, parts in cut.items()}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian integers of ``dtype``; an empty text has none."""
         cut: list[list[str] | None] = []
         seen: set[str] = set()
-        heads: set[str] = set()
+        lines = " \n" if self.keeps_spaces else " "
         for text in texts:
             if any(s in text for s in self.special):
                 cut.append(None)
                 continue
-            pieces = text.split(" ") if self.keeps_spaces else text.replace("\n", " ").split(" ")
-            head = pieces[0]
-            seen.update(pieces if not self.keeps_spaces else pieces[1:])
-            if self.keeps_spaces and head:
-                heads.add(head)
+            pieces = text.replace("\n", lines).split(" ")
+            if self.keeps_spaces:
+                # the first piece as behind a line feed, whose id is left out below
+                if pieces[0]:
+                    pieces[0] = "\n" + pieces[0]
+                else:
+                    del pieces[0]
+            seen.update(pieces)
             cut.append(pieces)
         if new := seen.difference(self.cache):
             self._add(new)
-        first = self._heads(heads)
-        cache, out, join = self.cache, [], b"".join
+        cache, out, join, size = self.cache, [], b"".join, array(self.code).itemsize
         for text, pieces in zip(texts, cut, strict=True):
             try:
                 if pieces is None:
                     raise TypeError
-                if self.keeps_spaces:
-                    head = pieces[0]
-                    coded = [cache[p] for p in pieces[1:]]
-                    coded.insert(0, first[head] if head else b"")
-                else:
-                    coded = [cache[p] for p in pieces]
-                out.append(join(coded))
+                data = join([cache[p] for p in pieces])
+                out.append(data[size:] if self.keeps_spaces and text[:1] not in ("", " ", "\n") else data)
             except TypeError:
                 out.append(self.whole(text))
         if len(cache) > CACHE_WORDS:
