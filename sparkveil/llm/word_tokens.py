@@ -19,6 +19,8 @@ import os
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 MARKS = frozenset(".,!?;:")
 #: Entries of each of the two generations of a worker's cache; bounds its memory, not the result.
@@ -112,35 +114,36 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian integers of ``dtype``; an empty text has none."""
-        cut: list[list[str] | None] = []
-        seen: set[str] = set()
-        lines = " \n" if self.keeps_spaces else " "
-        for text in texts:
-            if any(s in text for s in self.special):
-                cut.append(None)
-                continue
-            pieces = text.replace("\n", lines).split(" ")
-            if self.keeps_spaces:
-                # the first piece as behind a line feed, whose id is left out below
-                if pieces[0]:
-                    pieces[0] = "\n" + pieces[0]
-                else:
-                    del pieces[0]
-            seen.update(pieces)
-            cut.append(pieces)
-        if new := seen.difference(self.cache):
+        if not texts:
+            return []
+        special = np.array([any(s in text for s in self.special) for text in texts])
+        # the first piece stands as behind a space, or else as behind a line feed whose id is left out below
+        fed = np.array([self.keeps_spaces and text[:1] not in ("", " ", "\n") for text in texts])
+        if self.keeps_spaces:
+            spaced = [("\n" + t if f else t).replace("\n", " \n") for t, f in zip(texts, fed.tolist(), strict=True)]
+            spaced = [t[1:] for t in spaced]  # each that has a character begins with a space
+        else:
+            spaced = [t.replace("\n", " ") for t in texts]
+        pieces = pc.split_pattern(pa.array(spaced, pa.large_string()), " ")
+        coded = pieces.values.dictionary_encode()
+        # each different piece is looked up once, then its ids go wherever it stands
+        words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        if new := set(words).difference(self.cache):
             self._add(new)
-        cache, out, join, size = self.cache, [], b"".join, array(self.code).itemsize
-        for text, pieces in zip(texts, cut, strict=True):
-            try:
-                if pieces is None:
-                    raise TypeError
-                data = join([cache[p] for p in pieces])
-                out.append(data[size:] if self.keeps_spaces and text[:1] not in ("", " ", "\n") else data)
-            except TypeError:
-                out.append(self.whole(text))
-        if len(cache) > CACHE_WORDS:
-            self.old, self.cache = cache, {}
+        found = [self.cache[w] for w in words]
+        odd = np.array([x is None for x in found])[index]
+        data = np.frombuffer(b"".join([x or b"" for x in found]), self.dtype)
+        size = data.itemsize
+        length = np.array([len(x or b"") // size for x in found])
+        count = length[index]
+        ends = np.concatenate([[0], np.cumsum(count)])
+        ids = data[np.repeat((np.cumsum(length) - length)[index] - ends[:-1], count) + np.arange(ends[-1])].tobytes()
+        cuts = pieces.offsets.to_numpy()
+        whole = special | (np.diff(np.concatenate([[0], np.cumsum(odd)])[cuts]) > 0)
+        first, last = (ends[cuts[:-1]] + fed) * size, ends[cuts[1:]] * size
+        out = [self.whole(t) if w else ids[x:y] for t, w, x, y in zip(texts, whole.tolist(), first.tolist(), last.tolist(), strict=True)]
+        if len(self.cache) > CACHE_WORDS:
+            self.old, self.cache = self.cache, {}
         return out
 
 

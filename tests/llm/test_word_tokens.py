@@ -44,3 +44,29 @@ def test_odd_words_among_joined_ones(name, spaces):
     texts += ["".join(rng.choice("abAé.,'1½ \n \n\t\x01\x1c\x85　́漢🙂") for _ in range(rng.randint(0, 30))) for _ in range(3000)]
     e = WordEncoder(tokenizer_path(name), spaces)
     assert e.encode(texts) == [e.whole(t) for t in texts]
+
+
+class Looked(dict):
+    """A cache that counts what is taken from it."""
+
+    looked = 0
+
+    def __getitem__(self, key):
+        self.looked += 1
+        return super().__getitem__(key)
+
+
+@BOTH
+def test_repeated_words_are_looked_up_once(name, spaces):
+    e = WordEncoder(tokenizer_path(name), spaces)
+    e.cache = Looked()
+    texts = ["of the end, and of it " * 500 + "x"] * 3
+    assert e.encode(texts) == [e.whole(t) for t in texts]
+    assert e.cache.looked < 20
+
+
+@BOTH
+def test_batches_without_words(name, spaces):
+    e = WordEncoder(tokenizer_path(name), spaces)
+    for texts in ([], [""], ["", " "], ["\n"], ["<|endoftext|>"]):
+        assert e.encode(texts) == [e.whole(t) for t in texts]
