@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import VERSION
 from ..functions.lexicons import TOKEN_TYPES
-from ..functions.regexlib import let, strip
+from ..functions.regexlib import exploded, let, strip
 
 
 def pii_fields(detections: Column) -> Column:
@@ -106,7 +106,7 @@ def records(anonymised: DataFrame, threshold: float = 0.85, processed_at: dateti
 
 def detections_table(anonymised: DataFrame) -> DataFrame:
     """One row for each detection, with confidence and token."""
-    rows = anonymised.select("doc_key", F.explode(logged(F.col("detections"), F.col("tokens"))).alias("d"))
+    rows = exploded(anonymised, logged(F.col("detections"), F.col("tokens")), "d", "doc_key")
     return rows.select("doc_key", "d.*")
 
 

@@ -7,6 +7,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.regexlib import exploded
 from ..operators.records import envelope, failures, per_document
 
 RECORD = ("candidate_fingerprint", "source_file", "quality", "was_normalised", "processed_at", "pipeline_version", "pii_fields")
@@ -31,7 +32,7 @@ def write_run(results: DataFrame, directory: str, config_hash: str = "00000000",
     good.select("doc_key", *LOG).write.mode("overwrite").json(f"{directory}/detection_log")
     good.select("doc_key", "anonymised_text").write.mode("overwrite").parquet(f"{directory}/anonymised")
     good.select("doc_key", "sanitised_text").write.mode("overwrite").parquet(f"{directory}/sanitised")
-    good.select("doc_key", F.explode("tokens").alias("t")).select("doc_key", "t.token", "t.value").write.mode("overwrite").parquet(f"{directory}/token_map")
+    exploded(good, "tokens", "t", "doc_key").select("doc_key", "t.token", "t.value").write.mode("overwrite").parquet(f"{directory}/token_map")
     failures(kept).write.mode("overwrite").json(f"{directory}/failures")
     per_document(kept).write.mode("overwrite").json(f"{directory}/per_document")
     if per_document_texts:
