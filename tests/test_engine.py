@@ -172,3 +172,14 @@ def test_verifying_model(spark):
     df = E.anonymise(documents(spark, ["a@b.com knows Zed"]))
     got = M.merge_verified(M.with_verified_spans(df, lambda p: '{"remaining_pii": [{"text": "Zed", "type": "EMAIL"}]}')).first()
     assert got.anonymised_text == "[EMAIL_1] knows [EMAIL_2]" and got.llm_verify_count == 1
+
+
+def test_marks_in_texts_and_one_search(spark):
+    """A text that has the sign that parts matches keeps its spans; a pattern is searched once and compiled once."""
+    from sparkveil.functions.regexlib import MARK
+
+    df = spark.createDataFrame([(f"{MARK}a@b.com{MARK} ë c@d.org",), ("ë a@b.com c@d.org",)], "text string")
+    got = [[(s["text"], s["start"], s["end"]) for s in r[0]] for r in df.select(F.concat(*D.l1(F.col("text"), types=["EMAIL"]))).collect()]
+    assert got == [[("a@b.com", 1, 8), ("c@d.org", 12, 19)], [("a@b.com", 2, 9), ("c@d.org", 10, 17)]]
+    plan = df.select(F.concat(*D.l1(F.col("text"), types=["EMAIL"])))._jdf.queryExecution().analyzed().toString()
+    assert "lambda z" not in plan.split("regexp_replace(")[1].split(")")[0] and MARK in plan
