@@ -8,10 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import Options
-from ..functions.regexlib import gated, pattern, replace_with
+from ..functions.regexlib import MARK, gated, let, pattern, replace_with
 
 # The shapes that are repaired.
 BROKEN_EMAIL = r"[\w][\w\s.\-]*?\s*@\s*[\w][\w\s\-]*?\s*\.\s*[\w][\w\s\-]*?(?:\s*\.\s*[\w]+)*(?=[\s,;]|$)"
+#: BROKEN_EMAIL as its second group, found in one pass: the signs before @ and before the first dot have no choice, and where the first word
+#: of a run of such signs (or of what a match left of it) begins no match, no other word of the run does.  The first group is what goes before.
+BROKEN_EMAIL_ONCE = r"(?:\G|(?<![\w\s.\-]))([\s.\-]*+)(\w[\w\s.\-]*+@\s*+\w[\w\s\-]*+\.\s*+\w[\w\s\-]*?(?:\s*\.\s*[\w]+)*(?=[\s,;]|$))"
 WHOLE_EMAIL = r"^[\w.\-]+@[\w.\-]+\.[a-z]{2,}$"
 BROKEN_URLS = [r"linked\s*in\s*\.\s*com\s*/\s*in\s*/\s*[\w\s\-]+", r"git\s*hub\s*\.\s*com\s*/\s*[\w\s\-/]+"]
 LETTER = "[A-Za-zÇËçëÄä]"
@@ -58,7 +61,12 @@ def fix_emails(text: Column) -> Column:
         plain = F.regexp_replace(m, r"(?U)\s+", "")
         return F.when(plain.rlike(pattern(WHOLE_EMAIL, ignore_case=True)), plain).otherwise(m)
 
-    return F.when(text.contains("@"), replace_with(text, pattern(BROKEN_EMAIL), whole)).otherwise(text)
+    def fixed(t: Column) -> Column:
+        cut = F.split(F.regexp_replace(t, pattern(BROKEN_EMAIL_ONCE), f"$1{MARK}$2{MARK}"), MARK, -1)
+        once = F.array_join(F.transform(cut, lambda q, i: F.when(i % 2 == 1, whole(q)).otherwise(q)), "")
+        return F.when(t.contains(MARK), replace_with(t, pattern(BROKEN_EMAIL), whole)).otherwise(once)
+
+    return let(text, lambda t: F.when(t.contains("@"), fixed(t)).otherwise(t))
 
 
 def fix_urls(text: Column) -> Column:
