@@ -31,6 +31,17 @@ def test_spans_agree_with_python(spark):
         assert [[(s.text, s.start, s.end) for s in row] for row in got] == [[(m.group(), m.start(), m.end()) for m in re.finditer(p, t)] for t in texts]
 
 
+def test_places_of_few_and_many_matches(spark):
+    """Places are summed one by one up to FEW parts and in blocks beyond, running numbers in one block or more; all agree."""
+    texts = ["\u00eb\U0001f600 K12345678M." * n for n in (1, 2, 15, 16, 17, 31, 32, 33, 64, 65, 130)]
+    got = column(spark, texts, lambda c: F.concat(*D.l1(c, types=["AL_NID"])))
+    want = [[(m.group(), m.start(), m.end()) for m in re.finditer(L.L1_PATTERNS["AL_NID"][0], t)] for t in texts]
+    assert [[(s.text, s.start, s.end) for s in row] for row in got] == want
+    assert [[(s.text, s.start, s.end) for s in row] for row in column(spark, texts, lambda c: R.dedupe_contained(F.concat(*D.l1(c, types=["AL_NID"]))))] == want
+    plan = spark.createDataFrame([("x",)], "text string").select(F.concat(*D.l1(F.col("text"), types=["AL_NID"])))._jdf.queryExecution().optimizedPlan().toString()
+    assert " <= 33" in plan
+
+
 def test_replace_with(spark):
     assert column(spark, ["ab a", "", "b"], lambda c: replace_with(c, "a", F.upper)) == ["Ab A", "", "b"]
 
