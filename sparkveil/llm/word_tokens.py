@@ -127,14 +127,17 @@ class WordEncoder:
         pieces = pc.split_pattern(pa.array(spaced, pa.large_string()), " ")
         coded = pieces.values.dictionary_encode()
         # each different piece is looked up once, then its ids go wherever it stands
-        words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        words, index = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()  # to_pylist makes a scalar of each
         if new := set(words).difference(self.cache):
             self._add(new)
-        found = [self.cache[w] for w in words]
-        odd = np.array([x is None for x in found])[index]
-        data = np.frombuffer(b"".join([x or b"" for x in found]), self.dtype)
+        found = [*map(self.cache.__getitem__, words)]
+        odd = np.zeros(len(index), bool)
+        if None in found:
+            odd = np.array([x is None for x in found])[index]
+            found = [x or b"" for x in found]
+        data = np.frombuffer(b"".join(found), self.dtype)
         size = data.itemsize
-        length = np.array([len(x or b"") // size for x in found])
+        length = np.fromiter(map(len, found), np.int64, len(found)) // size
         count = length[index]
         ends = np.concatenate([[0], np.cumsum(count)])
         ids = data[np.repeat((np.cumsum(length) - length)[index] - ends[:-1], count) + np.arange(ends[-1])].tobytes()
